@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import col, fresh, read
+from loomgraph.llm.common import col, read
 
 
 class Trie:
@@ -71,17 +71,16 @@ def _owners(batches, kept_only: bool, n: int, id_type):
             yield pa.record_batch([b.column(n + 3), pa.array(owner, id_type)], ["doc_id", "owner_id"])
 
 
-def _sorted(docs: DataFrame, columns: list[str], id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    text, size, digest, ident = fresh(docs.columns, "text_", "size_", "hash_", "id_")
+def _sorted(docs: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The columns, named c0, c1 ... as mapInArrow takes no names with dots, and after them what _owners wants."""
     rows = docs.select(
-        *(col(c) for c in columns),
-        col(text_col).cast("binary").alias(text),
-        F.octet_length(col(text_col)).alias(size),
-        F.when(col(text_col).isNull(), F.xxhash64(col(id_col))).otherwise(F.xxhash64(col(text_col))).alias(digest),
-        col(id_col).alias(ident),
+        *(col(c).alias(f"c{i}") for i, c in enumerate(columns)),
+        col(text_col).cast("binary").alias("text"),
+        F.octet_length(col(text_col)).alias("size"),
+        F.when(col(text_col).isNull(), F.xxhash64(col(id_col))).otherwise(F.xxhash64(col(text_col))).alias("hash"),
+        col(id_col).alias("id"),
     )
-    rows = rows.repartition(col(size), col(digest))
-    return rows.sortWithinPartitions(col(size), col(digest), col(ident).asc_nulls_last()), [text, size, digest, ident]
+    return rows.repartition("size", "hash").sortWithinPartitions("size", "hash", F.col("id").asc_nulls_last())
 
 
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +89,7 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     A NULL text is nobody's copy: its owner is its own identifier. Empty texts are copies of each other. A row whose
     identifier is NULL owns a text only if no other row does. Repeated rows each appear. No rows give no rows.
     """
-    rows, _ = _sorted(docs, [], id_col, text_col)
+    rows = _sorted(docs, [], id_col, text_col)
     kind = docs.schema[id_col].dataType
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("owner_id", kind)])
     from pyspark.sql.pandas.types import to_arrow_type
@@ -102,9 +101,10 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that own their text, all columns as they were: of each group of equal texts the one with the
     smallest identifier; of rows that agree in text and identifier, one. Rows with NULL text all stay."""
-    rows, _ = _sorted(docs, docs.columns, id_col, text_col)
     n = len(docs.columns)
-    return rows.mapInArrow(lambda batches: _owners(batches, True, n, None), docs.schema)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    rows = _sorted(docs, docs.columns, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _owners(batches, True, n, None), schema).toDF(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
