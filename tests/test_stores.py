@@ -154,8 +154,7 @@ def test_signal_waits(spark, tmp_path):
     rows = [[(1, "t", "signal", "early", at(0), None)], [(1, "t", "wait", None, at(1), 0), (2, "t", "wait", None, at(1), 0)], [(2, "t", "signal", "a", at(2), None), (2, "t", "signal", "b", at(3), None)], [(2, "t", "wait", None, at(4), 0)]]
     rows.append([(3, "t", "wait", None, at(5), 1)])
     q = durable.signal_waits(stream(spark, tmp_path, rows, schema)).writeStream.format("memory").queryName("waits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    for _ in range(60):  # the timer goes off in a later batch, which comes without data
+    for _ in range(120):  # the timer goes off in a later batch, which comes without data
         got = sorted((r.exec_id, r.outcome, r.payload) for r in spark.table("waits").collect())
         if len(got) == 4:
             break
