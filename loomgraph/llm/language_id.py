@@ -119,16 +119,12 @@ class Model:
         return [self.languages[i] if r.any() else None for i, r in zip(top.tolist(), s)]
 
 
-def _count(keys: list[np.ndarray], langs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys seen at least so often, most frequent first, and the logarithm of their smoothed frequency."""
-    every, counts = [], []
-    for k in keys:
-        u, c = np.unique(k, return_counts=True)
-        every.append(u)
-        counts.append(c)
-    known = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-    table = np.zeros((len(known), langs))
-    for j, (u, c) in enumerate(zip(every, counts)):
+def _count(counts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the keys of each language and their numbers: the keys seen at least so often, most frequent first, and the
+    logarithm of their smoothed frequency."""
+    known = np.unique(np.concatenate([u for u, _ in counts])) if counts else np.zeros(0, np.uint64)
+    table = np.zeros((len(known), len(counts)))
+    for j, (u, c) in enumerate(counts):
         table[np.searchsorted(known, u), j] = c
     total = table.sum(1)
     keep = np.flatnonzero(total >= least)
@@ -140,9 +136,15 @@ def _count(keys: list[np.ndarray], langs: int, least: int) -> tuple[np.ndarray,
 def fit(rows: list[tuple[str, str]], least_word: int = 2, least_gram: int = 2) -> Model:
     """The model of (language, text) rows, which must not be NULL."""
     languages = sorted({x for x, _ in rows})
-    texts = [_Text([t for x, t in rows if x == lang]) for lang in languages]
-    words = _Table(*_count([t.words() for t in texts], len(languages), least_word))
-    grams = {n: _Table(*_count([t.grams(np.arange(len(t.start)), n)[0] for t in texts], len(languages), least_gram)) for n in range(1, LONGEST + 1)}
+    counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(LONGEST + 1)]  # of words, 1-grams, 2-grams ...
+    for lang in languages:  # one at a time, as the arrays are many times as large as the texts
+        t = _Text([t for x, t in rows if x == lang])
+        counts[0].append(np.unique(t.words(), return_counts=True))
+        for n in range(1, LONGEST + 1):
+            counts[n].append(np.unique(t.grams(np.arange(len(t.start)), n)[0], return_counts=True))
+        del t
+    words = _Table(*_count(counts[0], least_word))
+    grams = {n: _Table(*_count(counts[n], least_gram)) for n in range(1, LONGEST + 1)}
     return Model(languages, words, grams)
 
 
