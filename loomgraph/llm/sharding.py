@@ -4,6 +4,11 @@ A partial partition is k bins of groups. The two partial partitions of largest s
 combined oppositely ordered, largest bins with smallest, until one is left. The combination of partial partitions is a
 partial partition again, so the work is a tree: each bucket of groups, of a bounded expected number, differences its own
 groups; then the buckets' results, k bins each, are differenced against each other, fan_in at a time.
+
+A group that is large for a bucket's share of a bin can't be made up for there, and once all buckets have spread their
+groups evenly, nowhere. If there are such groups, they are differenced first, all together. Each bucket then differences
+its groups with a copy of the large groups' bins, scaled down to its share of the rest, so that what it puts into a bin
+is what the large groups leave free; the groups of the last bucket level out what all others have left.
 """
 
 from __future__ import annotations
@@ -59,21 +64,62 @@ def difference(parts: list[list[int]], k: int) -> tuple[list[list[int]], list[in
     return bins, sums[final]
 
 
+#: A group is large if it is over this part of a bucket's share of a bin; so there are under buckets * k / LARGE of them.
+LARGE = 0.25
+
+
+def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["size", "group"], ascending=[False, True], na_position="last", kind="stable")
+
+
+def _around(base: list[int], whole: int | None, k: int):
+    """Bins for the groups of a bucket that even out bins filled already with base, or with the bucket's part of whole
+    of it; the bins keep their numbers."""
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _sorted(pdf)
+        share = base if whole is None else [x * int(pdf["size"].sum()) // max(1, whole) for x in base]
+        # bins equally filled are taken in another order by each bucket, else its remainders would add up in the same ones
+        order = np.random.default_rng(int(pdf["bucket"].iloc[0])).permutation(k)
+        bins, _ = difference([[share[j] for j in order], *([s] for s in pdf["size"].tolist())], k)
+        number = np.empty(k, np.int32)
+        number[bins[0]] = order
+        return pdf.assign(bin=number[[b[0] for b in bins[1:]]])
+
+    return apply
+
+
 def shard_groups(groups: DataFrame, k: int, per_bucket: int = 50_000, fan_in: int = 256) -> DataFrame:
     """(group, size, shard) for a table (group, size) of distinct groups; shard is 0..k-1."""
     if k < 1:
         raise ValueError("k must be at least 1")
     groups = checkpointed(groups)
-    buckets = max(1, -(-groups.count() // per_bucket))
+    n, total = groups.agg(F.count(F.lit(1)), F.sum("size")).first()
+    buckets = max(1, -(-n // per_bucket))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "group"], ascending=[False, True], na_position="last", kind="stable")
+        pdf = _sorted(pdf)
         bins, _ = difference([[s] for s in pdf["size"].tolist()], k)
         return pdf.assign(bin=np.array([b[0] for b in bins], np.int32))
 
     kind = groups.schema["group"].dataType.simpleString()
+    schema = f"`group` {kind}, size long, bucket long, bin int"
     at = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("long"))
-    at = checkpointed(at.groupBy("bucket").applyInPandas(local, f"`group` {kind}, size long, bucket long, bin int"))
+    if buckets > 1:
+        large = F.coalesce(F.col("size") > F.lit(LARGE * (total or 0) / (buckets * k)), F.lit(False))
+
+        def filled(df: DataFrame) -> list[int]:
+            sums = {r["bin"]: r["size"] for r in df.groupBy("bin").agg(F.sum("size").alias("size")).collect()}
+            return [sums.get(j, 0) for j in range(k)]
+
+        if groups.where(large).limit(1).count():
+            done = checkpointed(groups.where(large).withColumn("bucket", F.lit(-1).cast("long")).groupBy("bucket").applyInPandas(local, schema))
+            small = at.where(~large & (F.col("bucket") > 0))
+            whole = small.agg(F.sum("size")).first()[0] or 0
+            done = done.unionAll(checkpointed(small.groupBy("bucket").applyInPandas(_around(filled(done), whole, k), schema)))
+            done = done.unionAll(at.where(~large & (F.col("bucket") == 0)).groupBy("bucket").applyInPandas(_around(filled(done), None, k), schema))
+            return done.select("group", "size", F.col("bin").alias("shard"))
+    at = checkpointed(at.groupBy("bucket").applyInPandas(local, schema))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bucket", "bin"], kind="stable")

@@ -255,6 +255,22 @@ def test_sharding_of_documents(spark):
         assert all(len(s) == 1 for s in shards.values())
 
 
+def test_sharding_around_large_groups(spark):
+    rng = random.Random(4)
+    sizes = [int(rng.lognormvariate(6, 1.2)) for _ in range(6000)]
+    share = sum(sizes) // 8
+    for large in ([share * 7 // 10], [share // 2, share // 3, share // 3, share // 20], [3 * share]):
+        whole = [*large, *sizes]
+        groups = spark.createDataFrame([(f"g{i}", s) for i, s in enumerate(whole)], "group string, size long")
+        rows = sharding.shard_groups(groups, 8, per_bucket=700, fan_in=3).collect()
+        assert sorted((r.group, r.size) for r in rows) == sorted((f"g{i}", s) for i, s in enumerate(whole))
+        load = [0] * 8
+        for r in rows:
+            load[r.shard] += r.size
+        _, best = sharding.difference([[s] for s in whole], 8)
+        assert all(abs(x - y) < 1e-3 * share for x, y in zip(sorted(load), sorted(best))), (large, load, best)
+
+
 # mixing
 
 
