@@ -1,7 +1,8 @@
 """Repeated passages by prefix-partitioned suffix trees.
 
-Which word sequences of at least min_words occur in two documents or more? Each such passage is a path of the suffix
-tree of all documents that goes min_words deep and has leaves of two documents below. Only suffixes that can have such a
+Which word sequences of at least min_words occur in two documents or more, or, with within, in two places at all? Each
+such passage is a path of the suffix tree of all documents that goes min_words deep and has leaves of two documents, or
+two leaves, below. Only suffixes that can have such a
 path are built into trees, and they are told exactly: of the k-word prefixes (k half of min_words) of the suffixes in any
 run of min_words words, the one of smallest hash is an anchor, wherever the run occurs; so if a run occurs twice, its
 anchors are shared, and suffixes whose anchors aren't shared have no deep node.
@@ -70,15 +71,21 @@ def _find(min_words: int):
     return apply
 
 
-def _shared(group: int):
-    """The anchors, from rows (anchor, id, at) sorted by anchor, that two documents have."""
+def _repeats(r: np.ndarray, ids: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
+    """Which of the groups that begin at r have two documents, or, within, two places."""
+    out = np.minimum.reduceat(ids, r[:-1]) != np.maximum.reduceat(ids, r[:-1])
+    return out | (np.minimum.reduceat(at, r[:-1]) != np.maximum.reduceat(at, r[:-1])) if within else out
+
+
+def _shared(group: int, within: bool):
+    """The anchors, from rows (anchor, id, at) sorted by anchor, that two documents have, or two places."""
 
     def apply(batches):
         for t in whole_groups(batches):
             h, ids, at = column(t, 0), column(t, 1), column(t, 2)
             r = run_starts(h)
             n = np.diff(r)
-            many = np.minimum.reduceat(ids, r[:-1]) != np.maximum.reduceat(ids, r[:-1])
+            many = _repeats(r, ids, at, within)
             keep = np.repeat(many, n)
             yield pa.record_batch([pa.array(ids[keep]), pa.array(at[keep]), pa.array(np.repeat(n > group, n)[keep])], ["id", "at", "many"])
 
@@ -148,17 +155,17 @@ def _cut(min_words: int):
     return apply
 
 
-def _deep(path: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which suffixes share their path with one of another document: leaves of deep nodes."""
+def _deep(path: np.ndarray, ids: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
+    """Which suffixes share their path with one of another document, or of another place: leaves of deep nodes."""
     order = np.argsort(path, kind="stable")
     r = run_starts(path[order])
-    many = np.minimum.reduceat(ids[order], r[:-1]) != np.maximum.reduceat(ids[order], r[:-1])
+    many = _repeats(r, ids[order], at[order], within)
     out = np.zeros(len(path), bool)
     out[order] = np.repeat(many, np.diff(r))
     return out
 
 
-def _trees(min_words: int, group: int):
+def _trees(min_words: int, group: int, within: bool):
     k = (min_words + 1) // 2
     side = min_words - k
 
@@ -166,7 +173,7 @@ def _trees(min_words: int, group: int):
         prefix, ids, at = column(t, 0).view(np.uint64), column(t, 1), column(t, 2).astype(np.int64)
         by_path = t.column(3).is_null().to_numpy()
         if by_path.any():
-            deep = _deep(prefix[by_path], ids[by_path])
+            deep = _deep(prefix[by_path], ids[by_path], at[by_path], within)
             yield ids[by_path][deep], at[by_path][deep], at[by_path][deep] + min_words
         rest = ~by_path
         if not rest.any():
@@ -181,7 +188,7 @@ def _trees(min_words: int, group: int):
             fits = np.flatnonzero((n_left >= o) & (n_right >= side - o))
             if not len(fits):
                 continue
-            deep = fits[_deep(_path(prefix[fits], left[fits], right[fits], o, k, min_words), ids[fits])]
+            deep = fits[_deep(_path(prefix[fits], left[fits], right[fits], o, k, min_words), ids[fits], at[fits], within)]
             last[deep] = np.where(last[deep] < 0, o, last[deep])
             first[deep] = o
         hit = first >= 0
@@ -223,26 +230,27 @@ def _merge(batches):
         yield pa.record_batch([pa.array(ids[at]), pa.array(a[at].astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array((stop - a[at]).astype(np.int32))], ["doc_id", "from_word", "to_word", "n_words"])
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
     """(doc_id, from_word, to_word, n_words) for each longest span of words, counted from 0, to_word not included, that
-    consists of sequences of at least min_words words which another document has as well.
+    consists of sequences of at least min_words words which another document has as well, or, with within, which begin in
+    another place too, be it of the same document; such places may overlap.
 
     Words are what ASCII white space divides, compared byte by byte. Texts that are NULL or shorter have no spans. Rows
     whose identifier is NULL can't be named and are left out. Rows that share an identifier are one document: what they
-    repeat of each other doesn't count, and their spans are merged. Identifiers are 64-bit integers. No rows give no
+    repeat of each other doesn't count (with within, not in the same place), and their spans are merged. Identifiers are 64-bit integers. No rows give no
     rows.
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     found = texts.mapInArrow(_find(min_words), "anchor long, id long, at int").repartition("anchor").sortWithinPartitions("anchor")
-    shared = found.mapInArrow(_shared(group), "id long, at int, many boolean")
+    shared = found.mapInArrow(_shared(group, within), "id long, at int, many boolean")
     lists = checkpointed(shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "many"))).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.many").alias("many")))
     rows = texts.join(lists, "id").select("id", "text", "at", "many")
     cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary").repartition("prefix").sortWithinPartitions("prefix")
-    spans = cut.mapInArrow(_trees(min_words, group), "id long, a int, b int").repartition("id").sortWithinPartitions("id", "a")
+    spans = cut.mapInArrow(_trees(min_words, group, within), "id long, a int, b int").repartition("id").sortWithinPartitions("id", "a")
     return spans.mapInArrow(_merge, "doc_id long, from_word int, to_word int, n_words int")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(read(spark, sf_dir, "documents"))
+    return repeated_spans(read(spark, sf_dir, "documents"), within=True)

@@ -115,6 +115,38 @@ def test_substrings_of_documents(spark):
     assert got == brute_spans({r.doc_id: r.text for r in docs.collect()}, 50)
 
 
+def brute_repeats(texts: dict[int, str], m: int):
+    """As brute_spans, of sequences that begin in two places of any documents."""
+    words = {i: re.findall(r"[^\x00-\x20]+", t) for i, t in texts.items()}
+    times = Counter(tuple(w[a : a + m]) for w in words.values() for a in range(len(w) - m + 1))
+    out = set()
+    for i, w in words.items():
+        spans = []
+        for a in range(len(w) - m + 1):
+            if times[tuple(w[a : a + m])] > 1:
+                if spans and a <= spans[-1][1]:
+                    spans[-1][1] = a + m
+                else:
+                    spans.append([a, a + m])
+        out |= {(i, *s) for s in spans}
+    return out
+
+
+def test_substrings_within_a_document(spark):
+    rng = random.Random(8)
+    texts = {i: " ".join(f"{i}w{rng.randrange(400)}" for _ in range(rng.randrange(90))) for i in range(40)}
+    own = {i: " ".join(f"{i}p{j}" for j in range(30)) for i in texts}
+    for i in range(0, 40, 3):
+        texts[i] = f"{own[i]} {texts[i]} {own[i]}" + f" z {own[i]}" * (i % 2)
+    texts[50] = "a b " * 40
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for m in (7, 30):
+        for group in (20_000, 2):
+            got = {(r.doc_id, r.from_word, r.to_word) for r in substring_dedup.repeated_spans(df, m, group, within=True).collect()}
+            assert got == brute_repeats(texts, m) and got > {(50, 0, 80)}, (m, group)
+            assert not substring_dedup.repeated_spans(df, m, group).collect()
+
+
 # jaccard
 
 
