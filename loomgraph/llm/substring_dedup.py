@@ -10,8 +10,13 @@ anchors are shared, and suffixes whose anchors aren't shared have no deep node.
 The suffixes with shared anchors are partitioned by a prefix of variable length: from a suffix's own first word up to
 the end of its anchor, k to min_words words. Prefixes are gathered into groups of a bounded number of anchors, so that a
 group's trees fit in memory; a prefix with more suffixes than that is divided by longer prefixes. A group sorts the paths
-of its suffixes; those that share a path of min_words words are the leaves of a deep node. A node's leaves in a document
-that overlap or touch make up a maximal repeated span.
+of its suffixes; those that share a path of min_words words are the leaves of a deep node. Of these,
+repeated_spans joins those that overlap or touch in a document.
+
+maximal_repeats follows the suffixes to their full depth. A repeat that can't be longer to the left begins at a deep
+node whose leaves differ in the word before (or have none); only those leaves' suffixes are taken, each as far as words
+are covered by deep nodes. Sorted, as in a suffix array, the longest repeat of each is what it has in common with a
+neighbour.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Words, checkpointed, col, column, fixed_binary, from_binary, large_strings, mix, read, run_starts, slices, whole_groups
+from loomgraph.llm.common import Words, arrow_lists, checkpointed, col, column, fixed_binary, from_binary, large_strings, mix, read, run_starts, slices, whole_groups
 
 MIN_WORDS = 50
 #: Anchors in a group, at most, and of one prefix before it is divided by longer ones.
@@ -106,21 +111,26 @@ def _sums(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def _before(n_left: np.ndarray, left: np.ndarray, o: int) -> np.ndarray:
+    """The word before the suffixes that begin o words before their anchors, -1 if they begin the text."""
+    return np.where(n_left > o, left[:, o].astype(np.int64), -1)
+
+
 def _cut(min_words: int):
-    """Rows (prefix, id, at, around): an anchor with the words before and after it; or, of an anchor with too many
-    suffixes, each suffix by a longer prefix, its path, with at its first word and nothing around."""
+    """Rows (prefix, id, at, around, before): an anchor with the words before and after it; or, of an anchor with too many
+    suffixes, each suffix by a longer prefix, its path, with at its first word, nothing around, and the word before."""
     k = (min_words + 1) // 2
     side = min_words - k
 
     def around(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         doc = w.doc[at]
-        n_left = np.minimum(at - w.first[doc], side)
+        n_left = np.minimum(at - w.first[doc], side + 1)
         n_right = np.minimum(w.first[doc + 1] - at - k, side)
-        step = np.arange(side)
+        step = np.arange(side + 1)
         short = (w.hash >> np.uint64(32)).astype(np.uint32)
         last = len(w) - 1
         left = short[np.maximum(at[:, None] - 1 - step, 0)]
-        right = short[np.minimum(at[:, None] + k + step, last)]
+        right = short[np.minimum(at[:, None] + k + step[:-1], last)]
         return n_left, n_right, left, right
 
     def apply(batches):
@@ -143,14 +153,15 @@ def _cut(min_words: int):
                 n_left, n_right, left, right = around(w, at)
                 few = ~many
                 ctx = np.concatenate((n_left[few, None].astype(np.uint32), n_right[few, None].astype(np.uint32), left[few], right[few]), 1)
-                yield pa.record_batch([pa.array(h[few].view(np.int64)), pa.array(ids[i:j][doc[few]]), pa.array(rel[few].astype(np.int32)), fixed_binary(ctx)], ["prefix", "id", "at", "around"])
+                yield pa.record_batch([pa.array(h[few].view(np.int64)), pa.array(ids[i:j][doc[few]]), pa.array(rel[few].astype(np.int32)), fixed_binary(ctx), pa.nulls(int(few.sum()), pa.int64())], ["prefix", "id", "at", "around", "before"])
                 if many.any():
                     h, rel, owner = h[many], rel[many], ids[i:j][doc[many]]
-                    nl, nr, ls, rs = n_left[many], n_right[many], _sums(left[many]), _sums(right[many])
+                    nl, nr, words = n_left[many], n_right[many], left[many]
+                    ls, rs = _sums(words), _sums(right[many])
                     for o in range(side + 1):
                         fits = (nl >= o) & (nr >= side - o)
                         p = _path(h[fits], ls[fits], rs[fits], o, k, min_words)
-                        yield pa.record_batch([pa.array(p.view(np.int64)), pa.array(owner[fits]), pa.array((rel[fits] - o).astype(np.int32)), pa.nulls(int(fits.sum()), pa.binary())], ["prefix", "id", "at", "around"])
+                        yield pa.record_batch([pa.array(p.view(np.int64)), pa.array(owner[fits]), pa.array((rel[fits] - o).astype(np.int32)), pa.nulls(int(fits.sum()), pa.binary()), pa.array(_before(nl[fits], words[fits], o))], ["prefix", "id", "at", "around", "before"])
 
     return apply
 
@@ -165,7 +176,19 @@ def _deep(path: np.ndarray, ids: np.ndarray, at: np.ndarray, within: bool) -> np
     return out
 
 
-def _trees(min_words: int, group: int, within: bool):
+def _open(path: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Which suffixes are leaves of nodes whose leaves differ in the word before, or have none."""
+    order = np.argsort(path, kind="stable")
+    r = run_starts(path[order])
+    low = np.minimum.reduceat(before[order], r[:-1])
+    out = np.zeros(len(path), bool)
+    out[order] = np.repeat((low < 0) | (low != np.maximum.reduceat(before[order], r[:-1])), np.diff(r))
+    return out
+
+
+def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
+    """Rows (id, a, b): spans of deep nodes' leaves; and, if nodes are asked for, the leaves at a of nodes that a repeat may
+    begin at, without b."""
     k = (min_words + 1) // 2
     side = min_words - k
 
@@ -175,20 +198,30 @@ def _trees(min_words: int, group: int, within: bool):
         if by_path.any():
             deep = _deep(prefix[by_path], ids[by_path], at[by_path], within)
             yield ids[by_path][deep], at[by_path][deep], at[by_path][deep] + min_words
+            if nodes and deep.any():
+                p, own, a = prefix[by_path][deep], ids[by_path][deep], at[by_path][deep]
+                hit = _open(p, t.column(4).filter(pa.array(by_path)).to_numpy()[deep])
+                yield own[hit], a[hit], None
         rest = ~by_path
         if not rest.any():
             return
         prefix, ids, at = prefix[rest], ids[rest], at[rest]
-        ctx = from_binary(t.column(3).filter(pa.array(rest)), np.uint32, 2 + 2 * side)
+        ctx = from_binary(t.column(3).filter(pa.array(rest)), np.uint32, 3 + 2 * side)
         n_left, n_right = ctx[:, 0].astype(np.int64), ctx[:, 1].astype(np.int64)
-        left, right = _sums(ctx[:, 2 : 2 + side]), _sums(ctx[:, 2 + side :])
+        words = ctx[:, 2 : 3 + side]
+        left, right = _sums(words), _sums(ctx[:, 3 + side :])
         first = np.full(len(at), -1)
         last = np.full(len(at), -1)
         for o in range(side + 1):
             fits = np.flatnonzero((n_left >= o) & (n_right >= side - o))
             if not len(fits):
                 continue
-            deep = fits[_deep(_path(prefix[fits], left[fits], right[fits], o, k, min_words), ids[fits], at[fits], within)]
+            path = _path(prefix[fits], left[fits], right[fits], o, k, min_words)
+            is_deep = _deep(path, ids[fits], at[fits], within)
+            deep, path = fits[is_deep], path[is_deep]
+            if nodes and len(deep):
+                hit = _open(path, _before(n_left[deep], words[deep], o))
+                yield ids[deep][hit], at[deep][hit] - o, None
             last[deep] = np.where(last[deep] < 0, o, last[deep])
             first[deep] = o
         hit = first >= 0
@@ -200,7 +233,8 @@ def _trees(min_words: int, group: int, within: bool):
 
         def flush():
             for ids, a, b in spans(pa.concat_tables(held)):
-                yield pa.record_batch([pa.array(ids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["id", "a", "b"])
+                b = pa.nulls(len(ids), pa.int32()) if b is None else pa.array(b.astype(np.int32))
+                yield pa.record_batch([pa.array(ids), pa.array(a.astype(np.int32)), b], ["id", "a", "b"])
 
         for t in whole_groups(batches):
             if held and n + t.num_rows > group:
@@ -214,20 +248,138 @@ def _trees(min_words: int, group: int, within: bool):
     return apply
 
 
+def _joined(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that overlap or touch made one; sorted by id and a."""
+    r = run_starts(ids)
+    lift = np.repeat(np.arange(len(r) - 1), np.diff(r)) << 33
+    end = np.maximum.accumulate(b + lift)
+    new = np.ones(len(ids), bool)
+    new[1:] = (a + lift)[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    return ids[at], a[at], end[np.append(at[1:], len(ids)) - 1] - lift[at]
+
+
 def _merge(batches):
     """Spans that overlap or touch made one, from rows (id, a, b) sorted by id and a."""
     for t in whole_groups(batches):
-        ids, a, b = column(t, 0), column(t, 1).astype(np.int64), column(t, 2).astype(np.int64)
+        if t.num_rows:
+            ids, a, b = _joined(column(t, 0), column(t, 1).astype(np.int64), column(t, 2).astype(np.int64))
+            yield pa.record_batch([pa.array(ids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array((b - a).astype(np.int32))], ["doc_id", "from_word", "to_word", "n_words"])
+
+
+def _by_document(batches):
+    """Rows (id, at, to): the places in a document that a repeat may begin at, and how far spans reach from there; from
+    rows (id, a, b) sorted by id and a."""
+    for t in whole_groups(batches):
+        ids, a, is_span = column(t, 0), column(t, 1).astype(np.int64), t.column(2).is_valid().to_numpy()
+        if is_span.all():
+            continue
+        own, _, end = _joined(ids[is_span], a[is_span], column(t.filter(pa.array(is_span)), 2).astype(np.int64))
+        ids, a = ids[~is_span], a[~is_span]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (a[1:] != a[:-1]))
+        ids, a = ids[new], a[new]
+        number = np.unique(np.concatenate((own, ids)), return_inverse=True)[1] << 33
+        to = end[np.searchsorted(end + number[: len(own)], a + number[len(own) :], "right")]
+        r = run_starts(ids)
+        yield pa.record_batch([pa.array(ids[r[:-1]]), arrow_lists(r, a.astype(np.int32)), arrow_lists(r, to.astype(np.int32))], ["id", "at", "to"])
+
+
+def _suffixes(min_words: int, most: int = 8 << 20):
+    """Rows (node, suffix, id, at) of texts with the rows of _by_document: the first min_words words from a place on, as
+    a hash, and the words that follow as far as spans reach."""
+
+    def apply(batches):
+        for b in batches:
+            ids, texts = column(b, 0), large_strings(b.column(1))
+            for i, j in slices(texts):
+                w = Words(texts.slice(i, j - i))
+                h, _ = w.grams(min_words)
+                words = (w.hash >> np.uint64(32)).astype(">u4")
+                lists, ends = b.column(2).slice(i, j - i), b.column(3).slice(i, j - i)
+                doc = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
+                rel = lists.flatten().to_numpy().astype(np.int64)
+                at = w.first[doc] + rel
+                to = np.minimum(w.first[doc] + ends.flatten().to_numpy(), w.first[doc + 1])
+                ok = to - at >= min_words  # it may not be, if two rows have one identifier
+                out, size = [], 0
+                for v, p, e, d, q in zip(h[at[ok]].view(np.int64).tolist(), at[ok].tolist(), to[ok].tolist(), ids[i:j][doc[ok]].tolist(), rel[ok].tolist()):
+                    out.append((v, words[p + min_words : e].tobytes(), d, q))
+                    size += 4 * (e - p)
+                    if size > most:
+                        yield _rows(out)
+                        out, size = [], 0
+                if out:
+                    yield _rows(out)
+
+    return apply
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    v, s, i, p = zip(*out)
+    return pa.record_batch([pa.array(v, pa.int64()), pa.array(s, pa.binary()), pa.array(i, pa.int64()), pa.array(p, pa.int32())], ["node", "suffix", "id", "at"])
+
+
+def _common(x: bytes, y: bytes) -> int:
+    """Words that both begin with."""
+    n = min(len(x), len(y)) // 4
+    if x[: 4 * n] == y[: 4 * n]:
+        return n
+    differ = np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n)
+    return int(differ.argmax())
+
+
+def _longest(min_words: int):
+    """Rows (id, a, b) of the longest repeat at each place, from rows (node, suffix, id, at) sorted by node and suffix."""
+
+    def apply(batches):
+        place, last, most = None, b"", 0
+        for b in batches:
+            out = []
+            for node, suffix, i, p in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if place != (node, i, p):
+                    n = min_words + _common(last, suffix) if place and place[0] == node else 0
+                    if place and max(most, n):
+                        out.append((*place[1:], max(most, n)))
+                    place, most = (node, i, p), n
+                last = suffix
+            yield _spans(out)
+        if place and most:
+            yield _spans([(*place[1:], most)])
+
+    return apply
+
+
+def _spans(out: list[tuple]) -> pa.RecordBatch:
+    x = np.array(out, np.int64).reshape(-1, 3)
+    return pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1].astype(np.int32)), pa.array((x[:, 1] + x[:, 2]).astype(np.int32))], ["id", "a", "b"])
+
+
+def _outer(batches):
+    """Spans that lie in no other one of their document, from rows (id, a, b) sorted by id, a, and b from the largest."""
+    for t in whole_groups(batches):
+        ids, a, b = column(t, 0), column(t, 1), column(t, 2).astype(np.int64)
         if not len(ids):
             continue
         r = run_starts(ids)
-        lift = np.repeat(np.arange(len(r) - 1), np.diff(r)) << 33
-        end = np.maximum.accumulate(b + lift)
-        new = np.ones(len(ids), bool)
-        new[1:] = (a + lift)[1:] > end[:-1]
-        at = np.flatnonzero(new)
-        stop = end[np.append(at[1:], len(ids)) - 1] - lift[at]
-        yield pa.record_batch([pa.array(ids[at]), pa.array(a[at].astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array((stop - a[at]).astype(np.int32))], ["doc_id", "from_word", "to_word", "n_words"])
+        end = np.maximum.accumulate(b + (np.repeat(np.arange(len(r) - 1), np.diff(r)) << 33))
+        keep = np.ones(len(ids), bool)
+        keep[1:] = end[1:] > end[:-1]
+        yield pa.record_batch([pa.array(ids[keep]), pa.array(a[keep]), pa.array(b[keep].astype(np.int32)), pa.array((b - a)[keep].astype(np.int32))], ["doc_id", "from_word", "to_word", "n_words"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+
+def _leaves(texts: DataFrame, min_words: int, group: int, within: bool, nodes: bool = False) -> DataFrame:
+    if min_words < 2:
+        raise ValueError("min_words must be at least 2")
+    found = texts.mapInArrow(_find(min_words), "anchor long, id long, at int").repartition("anchor").sortWithinPartitions("anchor")
+    shared = found.mapInArrow(_shared(group, within), "id long, at int, many boolean")
+    lists = checkpointed(shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "many"))).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.many").alias("many")))
+    rows = texts.join(lists, "id").select("id", "text", "at", "many")
+    cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary, before long").repartition("prefix").sortWithinPartitions("prefix")
+    return cut.mapInArrow(_trees(min_words, group, within, nodes), "id long, a int, b int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
@@ -237,20 +389,26 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GRO
 
     Words are what ASCII white space divides, compared byte by byte. Texts that are NULL or shorter have no spans. Rows
     whose identifier is NULL can't be named and are left out. Rows that share an identifier are one document: what they
-    repeat of each other doesn't count (with within, not in the same place), and their spans are merged. Identifiers are 64-bit integers. No rows give no
-    rows.
+    repeat of each other doesn't count (with within, not in the same place), and their spans are merged. Identifiers are
+    64-bit integers. No rows give no rows.
     """
-    if min_words < 2:
-        raise ValueError("min_words must be at least 2")
-    texts = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    found = texts.mapInArrow(_find(min_words), "anchor long, id long, at int").repartition("anchor").sortWithinPartitions("anchor")
-    shared = found.mapInArrow(_shared(group, within), "id long, at int, many boolean")
-    lists = checkpointed(shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "many"))).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.many").alias("many")))
-    rows = texts.join(lists, "id").select("id", "text", "at", "many")
-    cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary").repartition("prefix").sortWithinPartitions("prefix")
-    spans = cut.mapInArrow(_trees(min_words, group, within), "id long, a int, b int").repartition("id").sortWithinPartitions("id", "a")
+    leaves = _leaves(_texts(docs, id_col, text_col), min_words, group, within)
+    spans = leaves.repartition("id").sortWithinPartitions("id", "a")
     return spans.mapInArrow(_merge, "doc_id long, from_word int, to_word int, n_words int")
 
 
+def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, from_word, to_word, n_words) for each passage of at least min_words words that begins in another place
+    too, of any document, and lies in no longer such passage of its own. Passages of a document may overlap; each is
+    repeated as a whole. Words, NULLs, identifiers and shared ones are taken as by repeated_spans with within."""
+    texts = _texts(docs, id_col, text_col)
+    leaves = _leaves(texts, min_words, group, True, True).repartition("id").sortWithinPartitions("id", "a")
+    lists = checkpointed(leaves.mapInArrow(_by_document, "id long, at array<int>, to array<int>"))
+    suffixes = texts.join(lists, "id").select("id", "text", "at", "to").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int")
+    longest = suffixes.repartition("node").sortWithinPartitions("node", "suffix", "id", "at").mapInArrow(_longest(min_words), "id long, a int, b int")
+    spans = longest.repartition("id").sortWithinPartitions("id", "a", F.desc("b"))
+    return spans.mapInArrow(_outer, "doc_id long, from_word int, to_word int, n_words int")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(read(spark, sf_dir, "documents"), within=True)
+    return maximal_repeats(read(spark, sf_dir, "documents"))

@@ -147,6 +147,49 @@ def test_substrings_within_a_document(spark):
             assert not substring_dedup.repeated_spans(df, m, group).collect()
 
 
+def brute_maximal(texts: dict[int, str], m: int):
+    words = {i: t.split() for i, t in texts.items()}
+    where = defaultdict(list)
+    for i, w in words.items():
+        for a in range(len(w) - m + 1):
+            where[tuple(w[a : a + m])].append((i, a))
+    out = set()
+    for i, w in words.items():
+        far = 0
+        for a in range(len(w) - m + 1):
+            best = 0
+            for j, b in where[tuple(w[a : a + m])]:
+                n = sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(w[a:], words[j][b:])))
+                best = max(best, n) if (i, a) != (j, b) else best
+            if best and a + best > far:
+                far = a + best
+                out.add((i, a, far))
+    return out
+
+
+def test_maximal_repeats(spark):
+    rng = random.Random(6)
+    p, q = ([f"{c}{j}" for j in range(60)] for c in "pq")
+    texts = {1: " ".join(p + q), 2: " ".join(["x", *p, "y"]), 3: " ".join(q)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.from_word, r.to_word) for r in substring_dedup.maximal_repeats(df, 50).collect()}
+    assert got == {(1, 0, 60), (1, 60, 120), (2, 1, 61), (3, 0, 60)}
+    pool = [f"s{j}" for j in range(60)]
+    for i in range(10, 40):
+        w = [rng.choice("ab" if i % 3 else "abcdefgh") for _ in range(rng.randrange(50))]
+        for _ in range(rng.randrange(4)):
+            a = rng.randrange(50)
+            w += pool[a : a + rng.randrange(40)]
+        texts[i] = " ".join(w)
+    texts[50] = "a b " * 40
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for m in (7, 12):
+        for group in (20_000, 2):
+            rows = substring_dedup.maximal_repeats(df, m, group).collect()
+            assert {(r.doc_id, r.from_word, r.to_word) for r in rows} == brute_maximal(texts, m), (m, group)
+            assert all(r.n_words == r.to_word - r.from_word for r in rows)
+
+
 # jaccard
 
 
