@@ -3,8 +3,8 @@
 Detected entities get replacements that are functions of a secret key and the entity alone, so that one entity has one
 replacement in all documents (coreference) without any exchange between tasks. The functions are keyed permutations:
 Feistel networks over the set of strings of the same type and format, and keyed rotations of name lists of the same
-gender and script; so no two entities share a replacement. Each task checks that as it goes (CollisionError), and
-collisions() checks it over a whole table.
+gender and script; so no two entities share a replacement. Each task checks that as it goes (CollisionError), as far as
+its memory goes, and verify() checks it over a whole table.
 """
 
 from __future__ import annotations
@@ -164,6 +164,10 @@ def _fill(pattern: str, digits: str) -> str:
 
 def normal(kind: str, s: str) -> str:
     """What the mentions of one entity have in common: of numbers the digits, of e-mails and such the lower case."""
+    if kind == "phone" and s.startswith("+"):
+        return "+" + re.sub(r"[^0-9]", "", s)
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in s.split("."))
     if kind in ("phone", "ssn", "card"):
         return re.sub(r"[^0-9]", "", s)
     if kind == "iban":
@@ -173,17 +177,30 @@ def normal(kind: str, s: str) -> str:
     return s if kind == "person" else s.lower()
 
 
+#: Country codes of one and two digits; all others have three.
+_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
+def _private(address: int) -> int:
+    """Bits of the network, if the address is of a private range or the loopback one; else 0."""
+    a, b = address >> 24, address >> 16 & 255
+    return 8 if a in (10, 127) else 16 if (a, b) == (192, 168) else 12 if a == 172 and 16 <= b < 32 else 0
+
+
 def surrogate(key: bytes, kind: str, s: str) -> str:
     """The replacement of an entity: of its type, separators, case and script, and for persons gender; a card
     number that meets the Luhn check meets it again, the country code of a phone number stays, an e-mail keeps its top-
     level domain, an IPv4 address stays one, a private one private."""
     if kind == "ip":
-        parts = [int(x) for x in s.split(".")]
-        value = int.from_bytes(bytes(parts), "big")
-        keep = 8 if parts[0] in (10, 127) else 16 if parts[:2] == [192, 168] else 12 if parts[0] == 172 and 16 <= parts[1] < 32 else 0
+        value = int.from_bytes(bytes(int(x) for x in s.split(".")), "big")
+        keep = _private(value)
         low = 32 - keep
         # leading zeros, as in 010.0.0.1, aren't kept; such forms name the same address
-        new = (value >> low << low) | _other(key, f"ip|{value >> low if keep else -1}", value & ((1 << low) - 1), 1 << low)
+        new = value
+        while True:  # of a public address, until the result is public
+            new = (value >> low << low) | _other(key, f"ip|{value >> low if keep else -1}", new & ((1 << low) - 1), 1 << low)
+            if _private(new) == keep:
+                break
         return ".".join(map(str, new.to_bytes(4, "big")))
     if kind == "card":
         d = normal(kind, s)
@@ -191,10 +208,9 @@ def surrogate(key: bytes, kind: str, s: str) -> str:
         body = _permute_text(key, f"card{off}", d[:-1])
         return _fill(s, body + str((_luhn(body) + off) % 10))
     if kind in ("phone", "ssn"):
-        d = normal(kind, s)
-        code = len(re.match(r"\+(\d*)", s)[1]) if s.startswith("+") else 0
-        if code == len(d):  # written without gaps
-            code = 1 if d[0] in "17" else 2
+        d = re.sub(r"[^0-9]", "", s)
+        # by the digits alone, so that all spellings of a number agree
+        code = 0 if not s.startswith("+") else 1 if d[:1] in _CODES else 2 if d[:2] in _CODES else 3
         return _fill(s, d[:code] + _permute_text(key, f"{kind}|{d[:code]}", d[code:]))
     if kind == "email":
         low = s.lower()
@@ -242,8 +258,6 @@ class Replacer:
             if len(self.known) >= self.most:
                 self.__post_init__()
             got = self.known[kind, s] = surrogate(self.key, kind, s)
-            if kind == "ip":
-                s = ".".join(str(int(x)) for x in s.split("."))
             if self.whose.setdefault((kind, normal(kind, got)), normal(kind, s)) != normal(kind, s):
                 raise CollisionError(f"two of type {kind} have one surrogate")
         return got
@@ -299,5 +313,13 @@ def collisions(mentions: DataFrame) -> DataFrame:
     return mentions.distinct().groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def verify(docs: DataFrame, key: str, text_col: str = "text") -> None:
+    """CollisionError, if two entities of the whole table have one surrogate."""
+    if collisions(entities(docs, key, text_col)).limit(1).count():
+        raise CollisionError("two entities have one surrogate")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents"), key=spark.conf.get("spark.loomgraph.pii.key", "a key for tests; set your own"))
+    docs, key = read(spark, sf_dir, "documents"), spark.conf.get("spark.loomgraph.pii.key", "a key for tests; set your own")
+    verify(docs, key)
+    return pseudonymise(docs, key=key)

@@ -1,5 +1,6 @@
 """Operators against brute force, exact round trips, held-out accuracy."""
 
+import ipaddress
 import itertools
 import math
 import random
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -506,6 +508,25 @@ def test_small_formats_are_bijections():
         assert len({pii.surrogate(KEY, kind, s) for s in items}) == len(items)
 
 
+def test_public_addresses_stay_public_and_spellings_agree():
+    rng = random.Random(2)
+    public = {f"{rng.randrange(11, 100)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(2000)}
+    new = [ipaddress.ip_address(pii.surrogate(KEY, "ip", a)) for a in public]
+    private = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "127.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")]
+    assert len(set(new)) == len(public) and not any(a in n for a in new for n in private)
+    assert pii.normal("ip", "010.0.0.1") == pii.normal("ip", "10.0.0.1")
+    for spelled, plain in (("+351 212 345 6789", "+3512123456789"), ("+44 20 7946 0958", "+442079460958"), ("+1 555 123 4567", "+15551234567")):
+        assert pii.normal("phone", pii.surrogate(KEY, "phone", spelled)) == pii.normal("phone", pii.surrogate(KEY, "phone", plain))
+    assert pii.normal("phone", "+5551234567") != pii.normal("phone", "555-123-4567")
+
+
+def test_the_query_checks_the_whole_table(spark, sf, monkeypatch):
+    assert pii.op10_pii(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    monkeypatch.setattr(pii, "entities", lambda *a: spark.createDataFrame([("ssn", "1", "3"), ("ssn", "2", "3")], "type string, entity string, surrogate string"))
+    with pytest.raises(pii.CollisionError):
+        pii.op10_pii(spark, sf)
+
+
 def test_no_collision_over_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     mentions = pii.entities(docs, "k").cache()
