@@ -90,12 +90,12 @@ def _grow(x: np.ndarray, bad: np.ndarray, thresholds: list[np.ndarray], most: in
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, names: list[str], min_precision: float = 0.9, min_covered: int = 5, most_rules: int = 12, most_conditions: int = 5, cuts: int = 200) -> list[Rule]:
+def learn(x: np.ndarray, bad: np.ndarray, names: list[str], min_precision: float = 0.9, min_covered: int = 5, most_rules: int | None = None, most_conditions: int = 5, cuts: int = 200) -> list[Rule]:
     """The decision list for rows x of statistics, bad where a row's label is low. Rows 2, 5, 8 ... prune the rules."""
     test = np.arange(len(x)) % 3 == 2
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
-    while len(rules) < most_rules:
+    while most_rules is None or len(rules) < most_rules:
         grow, prune = left & ~test, left & test
         if bad[grow].sum() < min_covered:
             break
