@@ -35,10 +35,12 @@ def thresholds(rate: float) -> list[float]:
         k += 1
 
 
-def source_rates(docs: DataFrame, source_col: str, size_col: str, weights: dict | None, power: float, epochs: float) -> DataFrame:
+def source_rates(docs: DataFrame, source_col: str, size_col: str, weights: dict | None, power: float, epochs: float, text_col: str | None = None) -> DataFrame:
     """A row for each source: its size and its mean repetition rate. weights: target share by source, any scale;
-    sources that it doesn't name get none. Without: shares in proportion to size ** power."""
-    sizes = docs.groupBy(col(source_col).alias("source")).agg(F.coalesce(F.sum(F.greatest(col(size_col), F.lit(0)).cast("long")), F.lit(0)).alias("size"))
+    sources that it doesn't name get none. Without: shares in proportion to size ** power. A NULL size is the length of
+    the text, if text_col is given."""
+    size = F.coalesce(col(size_col), F.length(col(text_col))) if text_col else col(size_col)
+    sizes = docs.groupBy(col(source_col).alias("source")).agg(F.coalesce(F.sum(F.greatest(size, F.lit(0)).cast("long")), F.lit(0)).alias("size"))
     if weights is None:
         wanted = F.when(F.col("size") > 0, F.pow(F.col("size").cast("double"), F.lit(power))).otherwise(0.0)
     else:
@@ -62,7 +64,7 @@ def mix_sources(
 ) -> DataFrame:
     """The documents, each as often as its Poisson variate says, in a random order; with copy_col, numbered from 0.
 
-    Sizes are the sums of size_col: NULL and negative ones count 0. A NULL source is a source of its own. A source of
+    Sizes are the sums of size_col: where it is NULL, the characters of the text count; negative ones count 0. A NULL source is a source of its own. A source of
     size 0, or one that weights doesn't name, gets rate 0: none of its documents stay. A document whose identifier is
     NULL is hashed by its text instead. Rows that share an identifier share the number of copies. No rows give no rows.
     """
@@ -71,7 +73,7 @@ def mix_sources(
     def cdf(rate: pd.Series) -> pd.Series:
         return rate.map(thresholds)
 
-    rates = checkpointed(source_rates(docs, source_col, size_col, weights, power, epochs))
+    rates = checkpointed(source_rates(docs, source_col, size_col, weights, power, epochs, text_col))
     src, steps, copy, salt, order = fresh(docs.columns, "source_", "steps_", copy_col or "copy_", "salt_", "order_")
     rates = rates.select(F.col("source").alias(src), cdf("rate").alias(steps))
     on = col(source_col).eqNullSafe(F.col(src))
