@@ -64,20 +64,17 @@ class _Text:
 
 
 class _Table:
-    """Rows of scores by 64-bit hash. Of keys that fall on one slot, the one that comes first is known."""
+    """Rows of scores by 64-bit hash; the keys are distinct, and each is known."""
 
     def __init__(self, keys: np.ndarray, scores: np.ndarray):
-        self.bits = np.uint64(64 - max(10, int(len(keys)).bit_length() + 4))
-        slot = (keys >> self.bits).astype(np.int64)
-        self.slot = np.full(1 << int(64 - self.bits), -1, np.int32)
-        self.slot[slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-        self.keys, self.scores = keys, scores.astype(np.float32)
+        order = np.argsort(keys)
+        self.keys, self.scores = keys[order], scores[order].astype(np.float32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The row of each, -1 if unknown."""
         if not len(self.keys):
             return np.full(len(h), -1, np.int32)
-        i = self.slot[(h >> self.bits).astype(np.int64)]
+        i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[i] == h, i, -1)
 
 
