@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Words, arrow_lists, checkpointed, col, column, fixed_binary, from_binary, large_strings, mix, read, run_starts, slices, whole_groups
+from loomgraph.llm.common import Words, arrow_lists, col, column, fixed_binary, from_binary, large_strings, mix, read, run_starts, slices, whole_groups
 
 MIN_WORDS = 50
 #: Anchors in a group, at most, and of one prefix before it is divided by longer ones.
@@ -187,8 +187,8 @@ def _open(path: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
-    """Rows (id, a, b): spans of deep nodes' leaves; and, if nodes are asked for, the leaves at a of nodes that a repeat may
-    begin at, without b."""
+    """Rows (id, a, b, at, open): the span of the deep nodes' leaves round the anchor at this word; and, if nodes are asked
+    for, a bit for each o from 0 on, set if the leaf o words before the anchor is one that a repeat may begin at."""
     k = (min_words + 1) // 2
     side = min_words - k
 
@@ -197,11 +197,11 @@ def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
         by_path = t.column(3).is_null().to_numpy()
         if by_path.any():
             deep = _deep(prefix[by_path], ids[by_path], at[by_path], within)
-            yield ids[by_path][deep], at[by_path][deep], at[by_path][deep] + min_words
-            if nodes and deep.any():
-                p, own, a = prefix[by_path][deep], ids[by_path][deep], at[by_path][deep]
-                hit = _open(p, t.column(4).filter(pa.array(by_path)).to_numpy()[deep])
-                yield own[hit], a[hit], None
+            a = at[by_path][deep]
+            bits = np.zeros((len(a), side + 1), bool)
+            if nodes and len(a):
+                bits[:, 0] = _open(prefix[by_path][deep], t.column(4).filter(pa.array(by_path)).to_numpy()[deep])
+            yield ids[by_path][deep], a, a + min_words, a, bits
         rest = ~by_path
         if not rest.any():
             return
@@ -212,6 +212,7 @@ def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
         left, right = _sums(words), _sums(ctx[:, 3 + side :])
         first = np.full(len(at), -1)
         last = np.full(len(at), -1)
+        bits = np.zeros((len(at), side + 1), bool)
         for o in range(side + 1):
             fits = np.flatnonzero((n_left >= o) & (n_right >= side - o))
             if not len(fits):
@@ -220,21 +221,20 @@ def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
             is_deep = _deep(path, ids[fits], at[fits], within)
             deep, path = fits[is_deep], path[is_deep]
             if nodes and len(deep):
-                hit = _open(path, _before(n_left[deep], words[deep], o))
-                yield ids[deep][hit], at[deep][hit] - o, None
+                bits[deep, o] = _open(path, _before(n_left[deep], words[deep], o))
             last[deep] = np.where(last[deep] < 0, o, last[deep])
             first[deep] = o
         hit = first >= 0
-        yield ids[hit], (at - first)[hit], (at - last)[hit] + min_words
+        yield ids[hit], (at - first)[hit], (at - last)[hit] + min_words, at[hit], bits[hit]
 
     def apply(batches):
         held: list[pa.Table] = []
         n = 0
 
         def flush():
-            for ids, a, b in spans(pa.concat_tables(held)):
-                b = pa.nulls(len(ids), pa.int32()) if b is None else pa.array(b.astype(np.int32))
-                yield pa.record_batch([pa.array(ids), pa.array(a.astype(np.int32)), b], ["id", "a", "b"])
+            for ids, a, b, at, bits in spans(pa.concat_tables(held)):
+                bits = fixed_binary(np.packbits(bits, axis=1)) if nodes else pa.nulls(len(ids), pa.binary())
+                yield pa.record_batch([pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (a, b, at)), bits], ["id", "a", "b", "at", "open"])
 
         for t in whole_groups(batches):
             if held and n + t.num_rows > group:
@@ -269,15 +269,18 @@ def _merge(batches):
 
 def _by_document(batches):
     """Rows (id, at, to): the places in a document that a repeat may begin at, and how far spans reach from there; from
-    rows (id, a, b) sorted by id and a."""
+    rows (id, a, b, at, open) sorted by id and a."""
     for t in whole_groups(batches):
-        ids, a, is_span = column(t, 0), column(t, 1).astype(np.int64), t.column(2).is_valid().to_numpy()
-        if is_span.all():
+        if not t.num_rows:
             continue
-        own, _, end = _joined(ids[is_span], a[is_span], column(t.filter(pa.array(is_span)), 2).astype(np.int64))
-        ids, a = ids[~is_span], a[~is_span]
-        new = np.append(True, (ids[1:] != ids[:-1]) | (a[1:] != a[:-1]))
-        ids, a = ids[new], a[new]
+        ids, anchor = column(t, 0), column(t, 3).astype(np.int64)
+        own, _, end = _joined(ids, column(t, 1).astype(np.int64), column(t, 2).astype(np.int64))
+        width = len(t.column(4)[0].as_py())
+        row, o = np.nonzero(np.unpackbits(from_binary(t.column(4), np.uint8, width), axis=1))
+        if not len(row):
+            continue
+        places = np.unique(np.stack([ids[row], anchor[row] - o], 1), axis=0)
+        ids, a = places[:, 0], places[:, 1]
         number = np.unique(np.concatenate((own, ids)), return_inverse=True)[1] << 33
         to = end[np.searchsorted(end + number[: len(own)], a + number[len(own) :], "right")]
         r = run_starts(ids)
@@ -376,10 +379,10 @@ def _leaves(texts: DataFrame, min_words: int, group: int, within: bool, nodes: b
         raise ValueError("min_words must be at least 2")
     found = texts.mapInArrow(_find(min_words), "anchor long, id long, at int").repartition("anchor").sortWithinPartitions("anchor")
     shared = found.mapInArrow(_shared(group, within), "id long, at int, many boolean")
-    lists = checkpointed(shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "many"))).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.many").alias("many")))
+    lists = shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "many"))).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.many").alias("many"))
     rows = texts.join(lists, "id").select("id", "text", "at", "many")
     cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary, before long").repartition("prefix").sortWithinPartitions("prefix")
-    return cut.mapInArrow(_trees(min_words, group, within, nodes), "id long, a int, b int")
+    return cut.mapInArrow(_trees(min_words, group, within, nodes), "id long, a int, b int, at int, open binary")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
@@ -403,7 +406,8 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     repeated as a whole. Words, NULLs, identifiers and shared ones are taken as by repeated_spans with within."""
     texts = _texts(docs, id_col, text_col)
     leaves = _leaves(texts, min_words, group, True, True).repartition("id").sortWithinPartitions("id", "a")
-    lists = checkpointed(leaves.mapInArrow(_by_document, "id long, at array<int>, to array<int>"))
+    # one plan without a cut: both joins read the same exchange of the texts
+    lists = leaves.mapInArrow(_by_document, "id long, at array<int>, to array<int>")
     suffixes = texts.join(lists, "id").select("id", "text", "at", "to").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int")
     longest = suffixes.repartition("node").sortWithinPartitions("node", "suffix", "id", "at").mapInArrow(_longest(min_words), "id long, a int, b int")
     spans = longest.repartition("id").sortWithinPartitions("id", "a", F.desc("b"))
