@@ -17,6 +17,12 @@ maximal_repeats follows the suffixes to their full depth. A repeat that can't be
 node whose leaves differ in the word before (or have none); only those leaves' suffixes are taken, each as far as words
 are covered by deep nodes. Sorted, as in a suffix array, the longest repeat of each is what it has in common with a
 neighbour.
+
+Runs, passages that repeat p words over and over (p up to half of min_words), would have each of their words begin a
+suffix as long as the rest of the text. Of a run's suffixes only the first p + 1 are taken, and those that have as many of
+the run's words to come as another run of the same period, with the same word after it, has in all. The others add
+nothing: what they repeat within the run lies in the run without its first p words, which repeats; and what they repeat
+beyond the run's end also repeats from one word before, unless the other place is where a run begins.
 """
 
 from __future__ import annotations
@@ -287,9 +293,72 @@ def _by_document(batches):
         yield pa.record_batch([pa.array(ids[r[:-1]]), arrow_lists(r, a.astype(np.int32)), arrow_lists(r, to.astype(np.int32))], ["id", "at", "to"])
 
 
+def runs(w: Words, min_words: int) -> np.ndarray:
+    """Rows (first word, end, p) of the longest runs of at least min_words words with a smallest period p of at most half
+    as many words, sorted."""
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    for p in range(1, min_words // 2 + 1):
+        i = np.arange(0, max(len(w) - p, 0), min_words - p)  # any run has one of these words
+        x = y = np.zeros(0, np.int64)
+        if ((w.hash[i] == w.hash[i + p]) & (w.doc[i] == w.doc[i + p])).any():
+            same = (w.hash[:-p] == w.hash[p:]) & (w.doc[:-p] == w.doc[p:])
+            edge = np.flatnonzero(np.diff(same.astype(np.int8), prepend=0, append=0))
+            x, y = edge[::2], edge[1::2] + p
+            x, y = x[y - x >= min_words], y[y - x >= min_words]
+            for d in range(1, p):
+                if p % d == 0 and len(x):
+                    new = ~np.isin(x, found[d][0])
+                    x, y = x[new], y[new]
+        found.append((x, y))
+    out = np.concatenate([np.stack([x, y, np.full(len(x), p)], 1) for p, (x, y) in enumerate(found)])
+    return out[np.argsort(out[:, 0])]
+
+
+def _run_keys(w: Words, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the runs' last p words and the word after are, as a hash; and which have a word after."""
+    x, y, p = found.T
+    after = y < w.first[w.doc[x] + 1]
+    last = w.spans(y - p, y, w.sums())
+    return mix(last ^ mix(w.hash[np.minimum(y, len(w) - 1)] + p.astype(np.uint64))), after
+
+
+def _runs(min_words: int):
+    """Rows (key, id, at, n, p) of the runs that a word follows."""
+
+    def apply(batches):
+        for b in batches:
+            ids, texts = column(b, 0), large_strings(b.column(1))
+            for i, j in slices(texts):
+                w = Words(texts.slice(i, j - i))
+                found = runs(w, min_words)
+                if not len(found):
+                    continue
+                key, after = _run_keys(w, found)
+                x, y, p = found[after].T
+                doc = w.doc[x]
+                ints = [pa.array(v.astype(np.int32)) for v in (x - w.first[doc], y - x, p)]
+                yield pa.record_batch([pa.array(key[after].view(np.int64)), pa.array(ids[i:j][doc]), *ints], ["key", "id", "at", "n", "p"])
+
+    return apply
+
+
+def _idle(w: Words, doc: np.ndarray, rel: np.ndarray, min_words: int, within: pa.ListArray) -> np.ndarray:
+    """Which places in the texts' runs needn't be followed: all but the first p + 1 of a run, those that are named, and
+    those with fewer than min_words words of the run to come."""
+    found = runs(w, min_words)
+    if not len(found):
+        return np.zeros(len(rel), bool)
+    at = w.first[doc] + rel
+    k = np.maximum(np.searchsorted(found[:, 0], at, "right") - 1, 0)
+    x, y, p = found[k].T
+    inner = (at > x + p) & (y - at >= min_words)
+    named = np.repeat(np.arange(len(within)), within.fill_null([]).value_lengths().to_numpy())
+    return inner & ~np.isin(at, w.first[named] + within.fill_null([]).flatten().to_numpy())
+
+
 def _suffixes(min_words: int, most: int = 8 << 20):
-    """Rows (node, suffix, id, at) of texts with the rows of _by_document: the first min_words words from a place on, as
-    a hash, and the words that follow as far as spans reach."""
+    """Rows (node, suffix, id, at) of texts with the rows of _by_document and the places named by _run_places: the first
+    min_words words from a place on, as a hash, and the words that follow as far as spans reach."""
 
     def apply(batches):
         for b in batches:
@@ -304,6 +373,7 @@ def _suffixes(min_words: int, most: int = 8 << 20):
                 at = w.first[doc] + rel
                 to = np.minimum(w.first[doc] + ends.flatten().to_numpy(), w.first[doc + 1])
                 ok = to - at >= min_words  # it may not be, if two rows have one identifier
+                ok[ok] = ~_idle(w, doc[ok], rel[ok], min_words, b.column(4).slice(i, j - i))
                 out, size = [], 0
                 for v, p, e, d, q in zip(h[at[ok]].view(np.int64).tolist(), at[ok].tolist(), to[ok].tolist(), ids[i:j][doc[ok]].tolist(), rel[ok].tolist()):
                     out.append((v, words[p + min_words : e].tobytes(), d, q))
@@ -317,6 +387,14 @@ def _suffixes(min_words: int, most: int = 8 << 20):
     return apply
 
 
+def _run_places(texts: DataFrame, min_words: int) -> DataFrame:
+    """(id, named): the places in runs with as many words of the run to come as another run, of the same key, has."""
+    found = texts.mapInArrow(_runs(min_words), "key long, id long, at int, n int, p int")
+    sizes = found.groupBy("key").agg(F.collect_set("n").alias("sizes")).where("size(sizes) > 1")
+    inner = found.where(f"n > p + {min_words}").join(sizes, "key").select("id", F.explode(F.expr("transform(filter(sizes, q -> q < n - p), q -> at + n - q)")).alias("at"))
+    return inner.groupBy("id").agg(F.collect_set("at").alias("named"))
+
+
 def _rows(out: list[tuple]) -> pa.RecordBatch:
     v, s, i, p = zip(*out)
     return pa.record_batch([pa.array(v, pa.int64()), pa.array(s, pa.binary()), pa.array(i, pa.int64()), pa.array(p, pa.int32())], ["node", "suffix", "id", "at"])
@@ -408,7 +486,8 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     leaves = _leaves(texts, min_words, group, True, True).repartition("id").sortWithinPartitions("id", "a")
     # one plan without a cut: both joins read the same exchange of the texts
     lists = leaves.mapInArrow(_by_document, "id long, at array<int>, to array<int>")
-    suffixes = texts.join(lists, "id").select("id", "text", "at", "to").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int")
+    places = lists.join(_run_places(texts, min_words), "id", "left")
+    suffixes = texts.join(places, "id").select("id", "text", "at", "to", "named").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int")
     longest = suffixes.repartition("node").sortWithinPartitions("node", "suffix", "id", "at").mapInArrow(_longest(min_words), "id long, a int, b int")
     spans = longest.repartition("id").sortWithinPartitions("id", "a", F.desc("b"))
     return spans.mapInArrow(_outer, "doc_id long, from_word int, to_word int, n_words int")

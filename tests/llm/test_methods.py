@@ -141,6 +141,9 @@ def test_substrings_within_a_document(spark):
     for i in range(0, 40, 3):
         texts[i] = f"{own[i]} {texts[i]} {own[i]}" + f" z {own[i]}" * (i % 2)
     texts[50] = "a b " * 40
+    for i in range(51, 80):  # runs of short periods, cut and joined at random
+        units = [rng.choice(["a", "b", "a b", "a a b", "b a c a", "c a"]) for _ in range(rng.randrange(1, 4))]
+        texts[i] = " ".join(x for u in units for x in [rng.choice(["", "x", "y"]), *([u] * rng.randrange(1, 25)), rng.choice(["", "x", "y", "a"])]).strip()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     for m in (7, 30):
         for group in (20_000, 2):
@@ -184,6 +187,9 @@ def test_maximal_repeats(spark):
             w += pool[a : a + rng.randrange(40)]
         texts[i] = " ".join(w)
     texts[50] = "a b " * 40
+    for i in range(51, 80):  # runs of short periods, cut and joined at random
+        units = [rng.choice(["a", "b", "a b", "a a b", "b a c a", "c a"]) for _ in range(rng.randrange(1, 4))]
+        texts[i] = " ".join(x for u in units for x in [rng.choice(["", "x", "y"]), *([u] * rng.randrange(1, 25)), rng.choice(["", "x", "y", "a"])]).strip()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     for m in (7, 12):
         for group in (20_000, 2):
