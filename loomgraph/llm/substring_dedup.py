@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,7 +142,7 @@ def _cut(min_words: int):
 
     def apply(batches):
         for b in batches:
-            ids, texts = column(b, 0), large_strings(b.column(1))
+            ids, texts = column(b, 0), _unpack(b.column(1))
             lists, flags = b.column(2), b.column(3)
             for i, j in slices(texts, 1 << 19):
                 w = Words(texts.slice(i, j - i))
@@ -362,7 +363,7 @@ def _suffixes(min_words: int, most: int = 8 << 20):
 
     def apply(batches):
         for b in batches:
-            ids, texts = column(b, 0), large_strings(b.column(1))
+            ids, texts = column(b, 0), _unpack(b.column(1))
             for i, j in slices(texts):
                 w = Words(texts.slice(i, j - i))
                 h, _ = w.grams(min_words)
@@ -448,17 +449,34 @@ def _outer(batches):
         yield pa.record_batch([pa.array(ids[keep]), pa.array(a[keep]), pa.array(b[keep].astype(np.int32)), pa.array((b - a)[keep].astype(np.int32))], ["doc_id", "from_word", "to_word", "n_words"])
 
 
+def _pack(batches):
+    """Rows (id, packed) of rows (id, text): Zstandard takes a third less than the codec of the shuffle."""
+    z = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        raw = b.column(1).cast(pa.binary())
+        yield pa.record_batch([b.column(0), pa.array([z.compress(x.as_buffer()) for x in raw], pa.binary())], ["id", "packed"])
+
+
+def _unpack(a: pa.Array) -> pa.Array:
+    z = zstandard.ZstdDecompressor()
+    return pa.array([z.decompress(x.as_buffer()) for x in a], pa.large_binary()).cast(pa.large_string())
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
 
 
+def _packed(texts: DataFrame) -> DataFrame:
+    return texts.mapInArrow(_pack, "id long, packed binary")
+
+
 def _leaves(texts: DataFrame, min_words: int, group: int, within: bool, nodes: bool = False) -> DataFrame:
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
     found = texts.mapInArrow(_find(min_words), "anchor long, id long, at int").repartition("anchor").sortWithinPartitions("anchor")
     shared = found.mapInArrow(_shared(group, within), "id long, at int, many boolean")
     lists = shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "many"))).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.many").alias("many"))
-    rows = texts.join(lists, "id").select("id", "text", "at", "many")
+    rows = _packed(texts).join(lists, "id").select("id", "packed", "at", "many")
     cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary, before long").repartition("prefix").sortWithinPartitions("prefix")
     return cut.mapInArrow(_trees(min_words, group, within, nodes), "id long, a int, b int, at int, open binary")
 
@@ -487,7 +505,7 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     # one plan without a cut: both joins read the same exchange of the texts
     lists = leaves.mapInArrow(_by_document, "id long, at array<int>, to array<int>")
     places = lists.join(_run_places(texts, min_words), "id", "left")
-    suffixes = texts.join(places, "id").select("id", "text", "at", "to", "named").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int")
+    suffixes = _packed(texts).join(places, "id").select("id", "packed", "at", "to", "named").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int")
     longest = suffixes.repartition("node").sortWithinPartitions("node", "suffix", "id", "at").mapInArrow(_longest(min_words), "id long, a int, b int")
     spans = longest.repartition("id").sortWithinPartitions("id", "a", F.desc("b"))
     return spans.mapInArrow(_outer, "doc_id long, from_word int, to_word int, n_words int")
