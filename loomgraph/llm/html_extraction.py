@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,16 +29,19 @@ from loomgraph.llm.common import col, read
 #: Pages that the model is trained on, at most: those of smallest hash of the identifier.
 MOST_PAGES = 1500
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|textarea)\b.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/)?(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(r"/?([a-z][a-z0-9:-]*)", re.IGNORECASE)
+_STOP = re.compile(r"[<>\"']")
+_RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "noscript", "template", "svg", "textarea")}
 _WORDS = re.compile(r"(?:class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.IGNORECASE)
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {"p", "div", "ul", "ol", "li", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "main", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "dl", "dt", "dd", "figure", "hr", "body", "html", "head", "title", "address"}
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "table", "dl", "select", "body", "article", "main", "div", "section"}
 _MARKED = {"article", "main"}
+#: The tags that others close, in the order of the places that an open element remembers.
+_NEAR = {t: i for i, t in enumerate(("p", "li", "tr", "td", "th", "dt", "dd", "option"))}
+#: Elements nested deeper than this are children of the one at this depth, as browsers have it.
+DEEPEST = 512
 _TAGS = ["#text", "p", "div", "a", "li", "ul", "ol", "span", "b", "strong", "i", "em", "h1", "h2", "h3", "h4", "table", "tr", "td", "nav", "header", "footer", "aside", "form", "button", "section", "blockquote", "pre", "code", "title", "head", "body", "html", "img", "br", "label", "select", "option", "figure", "dl"]
 _TAG = {t: i for i, t in enumerate(_TAGS)}
 _HINTS = [re.compile(p, re.IGNORECASE) for p in (r"\bads?\b|advert|promo|sponsor|banner", r"nav|menu|breadcrumb|sidebar|widget|related", r"foot|copyright|legal|cookie|share|social", r"comment|reply", r"article|content|main|post|story|entry|text")]
@@ -45,6 +50,46 @@ KINDS = len(_TAGS) + 1
 SIZES = (len(_TAGS) + 1, len(_HINTS) + 1, 8, 6, 5, 6, len(_TAGS) + 1)
 
 
+def _tags(s: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(from, to, name, whether it closes, attributes) of the tags of a page in order; of comments, declarations, and
+    elements whose content isn't text, without a name. A tag in which another one begins ends there, one without an end
+    takes all that is left, and a quote that isn't closed is a sign like any other. No sign is looked at twice."""
+    at, unclosed = 0, set()
+    while (start := s.find("<", at)) >= 0:
+        at = start + 1
+        if s.startswith("!--", at):
+            end = s.find("-->", at + 3)
+            at = end + 3 if end >= 0 else len(s)
+            yield start, at, "", False, ""
+        elif s[at : at + 1] in ("!", "?"):
+            end = s.find(">", at)
+            at = end + 1 if end >= 0 else len(s)
+            yield start, at, "", False, ""
+        elif m := _NAME.match(s, at):
+            first = at = m.end()
+            end = len(s)
+            while stop := _STOP.search(s, at):
+                c, end = stop[0], stop.start()
+                if c == ">" or c == "<":
+                    break
+                at = end + 1
+                end = len(s)
+                if c not in unclosed:
+                    if (other := s.find(c, at)) >= 0:
+                        at = other + 1
+                    else:
+                        unclosed.add(c)
+            at = end + (s[end : end + 1] == ">")
+            tag = m[1].lower()
+            closing = m[0][0] == "/"
+            if tag in _RAW and not closing:
+                last = _RAW[tag].search(s, at)
+                at = last.end() if last else len(s)
+                yield start, at, "", False, ""
+            else:
+                yield start, at, tag, closing, s[first:end]
+
+
 class Nodes:
     """The nodes of some pages, a page's in document order, a parent before its children: page, parent (-1 for a root),
     depth, features, text, whether a block begins at it, and whether it lies in a marked part."""
@@ -73,54 +118,52 @@ class Nodes:
 
     def parse(self, source: str | None) -> None:
         """Adds a page. Unclosed and wrongly nested tags are mended as browsers do for paragraphs, list items and
-        cells; a closing tag that closes nothing is left out."""
+        cells; a closing tag that closes nothing is left out. The time is linear in the page's length."""
         page, at, block, seen = len(self.has_mark), 0, 0, False
-        stack = [("#root", self.add(page, -1, "#root", 0, None, 0, False), False)]
-        if source:
-            for m in _TOKEN.finditer(source):
-                if m.start() > at and not (raw := source[at : m.start()]).isspace():
-                    _, parent, marked = stack[-1]
-                    self.add(page, parent, "#text", 0, entities.unescape(raw) if "&" in raw else raw, block, marked)
-                at = m.end()
-                tag = m["tag"]
-                if tag is None:
-                    continue
-                tag = tag.lower()
-                if tag in _BLOCK or tag == "br":
-                    block += 1
-                if m["close"]:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            del stack[k:]
-                            break
-                    continue
-                if tag in _BLOCK:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == "p":
-                            del stack[k:]
-                            break
-                        if stack[k][0] in _SCOPE:
-                            break
-                if tag in _CLOSES:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in _CLOSES[tag]:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in _SCOPE:
-                            break
-                attrs = m["attrs"]
-                hint = 0
-                if attrs and (words := " ".join(_WORDS.findall(attrs))):
-                    hint = next((i + 1 for i, p in enumerate(_HINTS) if p.search(words)), 0)
-                _, parent, marked = stack[-1]
-                marked = marked or tag in _MARKED
-                seen = seen or tag in _MARKED
-                i = self.add(page, parent, "div" if tag in _MARKED else tag, hint, None, block, marked)
-                if tag not in _VOID and not (attrs or "").endswith("/"):
-                    stack.append((tag, i, marked))
-            if at < len(source) and not (raw := source[at:]).isspace():
-                _, parent, marked = stack[-1]
-                self.add(page, parent, "#text", 0, entities.unescape(raw), block, marked)
+        # name, node, whether in a marked part, and for each tag of _NEAR the nearest open one in scope, 0 if none
+        stack = [("#root", self.add(page, -1, "#root", 0, None, 0, False), False, (0,) * len(_NEAR))]
+        n_open: Counter = Counter()
+
+        def close(k: int) -> None:
+            n_open.subtract(x[0] for x in stack[k:])
+            del stack[k:]
+
+        def text(raw: str) -> None:
+            if raw and not raw.isspace():
+                _, parent, marked, _ = stack[min(len(stack), DEEPEST) - 1]
+                self.add(page, parent, "#text", 0, entities.unescape(raw) if "&" in raw else raw, block, marked)
+
+        for start, end, tag, closing, attrs in _tags(source or ""):
+            text(source[at:start])
+            at = end
+            if not tag:
+                continue
+            if tag in _BLOCK or tag == "br":
+                block += 1
+            if closing:
+                if n_open[tag] > 0:
+                    close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
+                continue
+            if tag in _BLOCK and (k := stack[-1][3][_NEAR["p"]]):
+                close(k)
+            if tag in _CLOSES and (k := max(stack[-1][3][_NEAR[t]] for t in _CLOSES[tag])):
+                close(k)
+            hint = 0
+            if attrs and (words := " ".join(_WORDS.findall(attrs))):
+                hint = next((i + 1 for i, p in enumerate(_HINTS) if p.search(words)), 0)
+            _, parent, marked, _ = stack[min(len(stack), DEEPEST) - 1]
+            near = stack[-1][3]
+            marked = marked or tag in _MARKED
+            seen = seen or tag in _MARKED
+            i = self.add(page, parent, "div" if tag in _MARKED else tag, hint, None, block, marked)
+            if tag not in _VOID and not attrs.endswith("/"):
+                if tag in _SCOPE:
+                    near = (0,) * len(_NEAR)
+                elif tag in _NEAR:
+                    near = (*near[: _NEAR[tag]], len(stack), *near[_NEAR[tag] + 1 :])
+                stack.append((tag, i, marked, near))
+                n_open[tag] += 1
+        text((source or "")[at:])
         self.has_mark.append(seen)
 
     def finish(self) -> None:
@@ -215,26 +258,30 @@ def extract(pages: list[str | None], model: Model) -> list[str | None]:
     keep = model.marginals(t) >= 0.5
     out: list[list[str]] = [[] for _ in pages]
     last = [-1] * len(pages)
+    blank = [False] * len(pages)  # after what the page has so far, if more of the block follows
     for i, text in enumerate(t.text):
         if text is not None and keep[i]:
             p, words = t.page[i], " ".join(text.split())
             if not words:
                 continue
             if t.block[i] == last[p]:
-                gap = " " if text[0].isspace() or out[p][-1].endswith("​") else ""
-                out[p][-1] = out[p][-1].rstrip("​") + gap + words
+                out[p].append((" " if text[0].isspace() or blank[p] else "") + words)
             else:
-                out[p].append(words)
+                out[p].append(("\n" if out[p] else "") + words)
                 last[p] = t.block[i]
-            if text[-1].isspace():
-                out[p][-1] += "​"  # a blank, if more of the block follows
-    return [None if s is None else "\n".join(x.rstrip("​") for x in o) for s, o in zip(pages, out)]
+            blank[p] = text[-1].isspace()
+    return [None if s is None else "".join(o) for s, o in zip(pages, out)]
 
 
 def train_pages(pages: DataFrame, most: int = MOST_PAGES, id_col: str = "page_id", html_col: str = "html") -> Model:
+    """The model of at most so many marked pages, those of smallest hash of identifier. NULL pages and empty ones are
+    never marked; rows that agree in identifier and page count once; no rows give uniform tables."""
     rows = pages.where(col(html_col).rlike(r"(?i)<(article|main)\b")).select(col(id_col).alias("id"), col(html_col).alias("html"))
-    ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(most).distinct()
-    pdf: pd.DataFrame = rows.join(F.broadcast(ids), "id").toPandas().sort_values(["id", "html"])
+    # pages are told apart by hashes, so that few are sent, and no more than so many, however often a row is repeated
+    rows = rows.withColumn("page", F.xxhash64("html"))
+    ids = rows.select("id", "page").orderBy(F.xxhash64("id"), "id", "page").limit(most).distinct()
+    chosen = rows.join(F.broadcast(ids), (rows.id.eqNullSafe(ids.id)) & (rows.page == ids.page), "left_semi")
+    pdf: pd.DataFrame = chosen.groupBy("id", "page").agg(F.first("html").alias("html")).toPandas().sort_values(["id", "html"])
     return train(pdf["html"].tolist())
 
 
