@@ -509,11 +509,42 @@ def test_permutations(size, key):
 
 
 def test_small_formats_are_bijections():
-    for kind, make in (("ssn", lambda i: f"{i:03d}-00-0000"), ("email", lambda i: f"{chr(97 + i % 26)}{i // 26 % 10}@b.org"), ("card", lambda i: f"411111111111{i:04d}")):
+    for kind, make in (("ssn", lambda i: f"{i:03d}-00-0000"), ("email", lambda i: f"{chr(97 + i % 26)}{i // 26 % 10}@b.org"), ("card", lambda i: (d := f"411111111{i:06d}") + str(pii._luhn(d))), ("person", lambda i: f"Anna {chr(65 + i % 26)}{'bcdfgh'[i // 26 % 6]}{'aeiou'[i // 156]}")):
         items = {make(i) for i in range(250)}
         assert len({pii.surrogate(KEY, kind, s) for s in items}) == len(items)
 
 
+def test_all_scripts_are_replaced_and_found_again():
+    r = pii.Replacer(KEY)
+    for text, kind in (
+        ("李明@163.com", "email"), ("علي@mail.com", "email"), ("иван@пример.com", "email"), ("x +353 1 234 5678 y", "phone"), ("2001:db8::1", "ip6"), ("Priya Sharma", "person"), ("Wei Chen", "person"),
+        ("Olivia Smith", "person"), ("Fatima Khan", "person"), ("Mary O'Neil", "person"), ("Г-жа Иванова", "person"), ("my name is Zed Brok", "person"), ("我叫李明。", "person"), ("محمد السعيد", "person"), ("प्रिया शर्मा", "person"),
+    ):
+        new, pairs = r.rewrite(text)
+        assert [k for k, _, _ in pairs] == [kind], text
+        assert not set(re.findall(r"\w\w+", pairs[0][1])) & set(re.findall(r"\w\w+", pairs[0][2])) - {"com", "2001", "353"}, (text, new)
+        assert [k for k, *_ in pii.Replacer(KEY).rewrite(new)[1]] == [kind] or "李" in text, new
+    assert r.one("phone", "+353 1 234 5678").replace(" ", "") == r.one("phone", "+35312345678")
+    one, two = r.rewrite("10.1.2.3 and 36.179.13.5")[0].split(" and ")
+    assert one != two
+    assert pii.find("9807915762804490 and 4111111111111112") == [] and pii.find("at 10:30:45, Dear Sir") == []
+
+
+def brute_rewrite(text: str | None, key: bytes) -> tuple[str | None, int]:
+    """Entity by entity from the last to the first, without a memory."""
+    found = pii.find(text or "")
+    for a, b, kind in reversed(found):
+        text = text[:a] + pii.surrogate(key, kind, text[a:b]) + text[b:]
+    return text, len(found)
+
+
+def test_pii_query_equals_brute_force(spark, sf):
+    key = b"a key for tests; set your own"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.text, r.n_entities) for r in pii.op10_pii(spark, sf).collect()}
+    assert got == {i: brute_rewrite(t, key) for i, t in docs.items()} and any(n for _, n in got.values())
+
+
 def test_public_addresses_stay_public_and_spellings_agree():
     rng = random.Random(2)
     public = {f"{rng.randrange(11, 100)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(2000)}
