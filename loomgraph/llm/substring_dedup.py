@@ -19,10 +19,11 @@ are covered by deep nodes. Sorted, as in a suffix array, the longest repeat of e
 neighbour.
 
 Runs, passages that repeat p words over and over (p up to half of min_words), would have each of their words begin a
-suffix as long as the rest of the text. Of a run's suffixes only the first p + 1 are taken, and those that have as many of
-the run's words to come as another run of the same period, with the same word after it, has in all. The others add
-nothing: what they repeat within the run lies in the run without its first p words, which repeats; and what they repeat
-beyond the run's end also repeats from one word before, unless the other place is where a run begins.
+suffix as long as the rest of the text. A repeat that begins in a run and goes beyond its end, and can't be longer to the
+left, has in its other place as many of the run's words, which begin or end a run there, or does so itself; so only where
+lengths of runs of the same period, with the same word after, tell that this may be are suffixes followed beyond the run.
+Within it, those from the first p + 1 words are enough: what others repeat lies in the run without its first p words,
+which repeats.
 """
 
 from __future__ import annotations
@@ -337,24 +338,26 @@ def _runs(min_words: int):
                 key, after = _run_keys(w, found)
                 x, y, p = found[after].T
                 doc = w.doc[x]
-                ints = [pa.array(v.astype(np.int32)) for v in (x - w.first[doc], y - x, p)]
-                yield pa.record_batch([pa.array(key[after].view(np.int64)), pa.array(ids[i:j][doc]), *ints], ["key", "id", "at", "n", "p"])
+                first = x == w.first[doc]
+                before = pa.array(w.hash[np.maximum(x - 1, 0)].view(np.int64), mask=first)
+                ints = [pa.array(v.astype(np.int32)) for v in (x - w.first[doc], y - x)]
+                yield pa.record_batch([pa.array(key[after].view(np.int64)), pa.array(ids[i:j][doc]), *ints, before], ["key", "id", "at", "n", "before"])
 
     return apply
 
 
-def _idle(w: Words, doc: np.ndarray, rel: np.ndarray, min_words: int, within: pa.ListArray) -> np.ndarray:
-    """Which places in the texts' runs needn't be followed: all but the first p + 1 of a run, those that are named, and
-    those with fewer than min_words words of the run to come."""
+def _in_runs(w: Words, doc: np.ndarray, rel: np.ndarray, to: np.ndarray, min_words: int, named: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places are to be followed, and how far. Of those with at least min_words words of a run to come, the named
+    ones as far as the others; the first p + 1 of a run just beyond it; the rest not at all."""
     found = runs(w, min_words)
     if not len(found):
-        return np.zeros(len(rel), bool)
+        return np.ones(len(rel), bool), to
     at = w.first[doc] + rel
     k = np.maximum(np.searchsorted(found[:, 0], at, "right") - 1, 0)
     x, y, p = found[k].T
-    inner = (at > x + p) & (y - at >= min_words)
-    named = np.repeat(np.arange(len(within)), within.fill_null([]).value_lengths().to_numpy())
-    return inner & ~np.isin(at, w.first[named] + within.fill_null([]).flatten().to_numpy())
+    of = np.repeat(np.arange(len(named)), named.fill_null([]).value_lengths().to_numpy())
+    inner = (at >= x) & (y - at >= min_words) & ~np.isin(at, w.first[of] + named.fill_null([]).flatten().to_numpy())
+    return ~inner | (at <= x + p), np.where(inner, np.minimum(to, y + 1), to)
 
 
 def _suffixes(min_words: int, most: int = 8 << 20):
@@ -373,8 +376,8 @@ def _suffixes(min_words: int, most: int = 8 << 20):
                 rel = lists.flatten().to_numpy().astype(np.int64)
                 at = w.first[doc] + rel
                 to = np.minimum(w.first[doc] + ends.flatten().to_numpy(), w.first[doc + 1])
-                ok = to - at >= min_words  # it may not be, if two rows have one identifier
-                ok[ok] = ~_idle(w, doc[ok], rel[ok], min_words, b.column(4).slice(i, j - i))
+                follow, to = _in_runs(w, doc, rel, to, min_words, b.column(4).slice(i, j - i))
+                ok = follow & (to - at >= min_words)  # it may be less, if two rows have one identifier
                 out, size = [], 0
                 for v, p, e, d, q in zip(h[at[ok]].view(np.int64).tolist(), at[ok].tolist(), to[ok].tolist(), ids[i:j][doc[ok]].tolist(), rel[ok].tolist()):
                     out.append((v, words[p + min_words : e].tobytes(), d, q))
@@ -389,11 +392,17 @@ def _suffixes(min_words: int, most: int = 8 << 20):
 
 
 def _run_places(texts: DataFrame, min_words: int) -> DataFrame:
-    """(id, named): the places in runs with as many words of the run to come as another run, of the same key, has."""
-    found = texts.mapInArrow(_runs(min_words), "key long, id long, at int, n int, p int")
-    sizes = found.groupBy("key").agg(F.collect_set("n").alias("sizes")).where("size(sizes) > 1")
-    inner = found.where(f"n > p + {min_words}").join(sizes, "key").select("id", F.explode(F.expr("transform(filter(sizes, q -> q < n - p), q -> at + n - q)")).alias("at"))
-    return inner.groupBy("id").agg(F.collect_set("at").alias("named"))
+    """(id, named): the places in runs from which a repeat may go beyond the run: with as many of its words to come as
+    another run of the same key has in all; or a run's first, if a longer run has the key, or one as long with another
+    word before, or none."""
+    found = texts.mapInArrow(_runs(min_words), "key long, id long, at int, n int, before long")
+    lengths = found.groupBy("key", "n").agg((F.min("before") != F.max("before")).alias("differ"), F.count(F.lit(1)).alias("all"), F.count("before").alias("known"))
+    keys = lengths.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", (F.coalesce("differ", F.lit(False)) | ((F.col("all") > 1) & (F.col("known") < F.col("all")))).alias("open")))).alias("sizes"))
+    keys = keys.where("size(sizes) > 1 OR exists(sizes, s -> s.open)")
+    ends = "transform(filter(sizes, s -> s.n < n), s -> at + n - s.n)"
+    starts = "filter(array(at), a -> exists(sizes, s -> s.n > n OR s.n = n AND s.open))"
+    places = found.join(keys, "key").select("id", F.explode(F.expr(f"concat({ends}, {starts})")).alias("at"))
+    return places.groupBy("id").agg(F.collect_set("at").alias("named"))
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
