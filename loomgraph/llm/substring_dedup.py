@@ -361,8 +361,11 @@ def _in_runs(w: Words, doc: np.ndarray, rel: np.ndarray, to: np.ndarray, min_wor
 
 
 def _suffixes(min_words: int, most: int = 8 << 20):
-    """Rows (node, suffix, id, at) of texts with the rows of _by_document and the places named by _run_places: the first
-    min_words words from a place on, as a hash, and the words that follow as far as spans reach."""
+    """Rows (node, suffix, id, at, near) of texts with the rows of _by_document and the places named by _run_places: the
+    first min_words words from a place on, as a hash, and the words that follow as far as spans reach. near is the least
+    hash of a few words among the first min_words ones: equal nodes have equal ones, and so have most neighbours in a
+    text, whose suffixes thus go to one place together and are compressed against each other."""
+    few = min(8, (min_words + 1) // 2)
 
     def apply(batches):
         for b in batches:
@@ -370,6 +373,8 @@ def _suffixes(min_words: int, most: int = 8 << 20):
             for i, j in slices(texts):
                 w = Words(texts.slice(i, j - i))
                 h, _ = w.grams(min_words)
+                grams, _ = w.grams(few)
+                near = _sliding(grams, min_words - few + 1, True).view(np.int64) if len(w) >= min_words else grams.view(np.int64)
                 words = (w.hash >> np.uint64(32)).astype(">u4")
                 lists, ends = b.column(2).slice(i, j - i), b.column(3).slice(i, j - i)
                 doc = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
@@ -379,8 +384,8 @@ def _suffixes(min_words: int, most: int = 8 << 20):
                 follow, to = _in_runs(w, doc, rel, to, min_words, b.column(4).slice(i, j - i))
                 ok = follow & (to - at >= min_words)  # it may be less, if two rows have one identifier
                 out, size = [], 0
-                for v, p, e, d, q in zip(h[at[ok]].view(np.int64).tolist(), at[ok].tolist(), to[ok].tolist(), ids[i:j][doc[ok]].tolist(), rel[ok].tolist()):
-                    out.append((v, words[p + min_words : e].tobytes(), d, q))
+                for v, p, e, d, q, c in zip(h[at[ok]].view(np.int64).tolist(), at[ok].tolist(), to[ok].tolist(), ids[i:j][doc[ok]].tolist(), rel[ok].tolist(), near[at[ok]].tolist()):
+                    out.append((v, words[p + min_words : e].tobytes(), d, q, c))
                     size += 4 * (e - p)
                     if size > most:
                         yield _rows(out)
@@ -406,8 +411,8 @@ def _run_places(texts: DataFrame, min_words: int) -> DataFrame:
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    v, s, i, p = zip(*out)
-    return pa.record_batch([pa.array(v, pa.int64()), pa.array(s, pa.binary()), pa.array(i, pa.int64()), pa.array(p, pa.int32())], ["node", "suffix", "id", "at"])
+    v, s, i, p, c = zip(*out)
+    return pa.record_batch([pa.array(v, pa.int64()), pa.array(s, pa.binary()), pa.array(i, pa.int64()), pa.array(p, pa.int32()), pa.array(c, pa.int64())], ["node", "suffix", "id", "at", "near"])
 
 
 def _common(x: bytes, y: bytes) -> int:
@@ -514,8 +519,8 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     # one plan without a cut: both joins read the same exchange of the texts
     lists = leaves.mapInArrow(_by_document, "id long, at array<int>, to array<int>")
     places = lists.join(_run_places(texts, min_words), "id", "left")
-    suffixes = _packed(texts).join(places, "id").select("id", "packed", "at", "to", "named").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int")
-    longest = suffixes.repartition("node").sortWithinPartitions("node", "suffix", "id", "at").mapInArrow(_longest(min_words), "id long, a int, b int")
+    suffixes = _packed(texts).join(places, "id").select("id", "packed", "at", "to", "named").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int, near long")
+    longest = suffixes.repartition("near").sortWithinPartitions("node", "suffix", "id", "at").mapInArrow(_longest(min_words), "id long, a int, b int")
     spans = longest.repartition("id").sortWithinPartitions("id", "a", F.desc("b"))
     return spans.mapInArrow(_outer, "doc_id long, from_word int, to_word int, n_words int")
 
