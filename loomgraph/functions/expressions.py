@@ -24,21 +24,28 @@ class CompileError(ValueError):
 
 @dataclass(frozen=True)
 class Value:
-    """A column and its type, and of a constant its value."""
+    """A column and its type, of a constant its value, and of a list that was written out its items."""
 
     column: Column
     kind: T.DataType
     const: object = None
+    items: tuple = ()
+
+
+#: Another engine may take the place of this one: anything that makes a value of code and a scope.
+Engine = Callable[[str, "Scope"], Value]
 
 
 @dataclass
 class Scope:
-    """Where paths lead: columns of df by root and name, and typed values that are bound for a while (Each)."""
+    """Where paths lead: columns of df by root and name, and typed values that are bound for a while (Each). engine: what
+    evaluates expressions, if not this language."""
 
     df: DataFrame
     inputs: dict[str, str]
     state: dict[str, str]
     bound: dict[str, Value] | None = None
+    engine: Engine | None = None
 
     def resolve(self, path: list[str]) -> Value:
         root, *rest = path
@@ -57,6 +64,8 @@ class Scope:
                 out = Value(out.column[part], out.kind[part].dataType)
             elif isinstance(out.kind, T.MapType):
                 out = Value(out.column[part], out.kind.valueType)
+            elif isinstance(out.kind, T.VariantType):
+                out = Value(F.variant_get(out.column, f"$.{part}", "variant"), T.VariantType())
             else:
                 raise CompileError(f"undefined name {'.'.join(path)!r}")
         return out
@@ -200,8 +209,8 @@ def _build(tree, scope: Scope) -> Value:
 
 
 def evaluate(code: str, scope: Scope) -> Value:
-    """The value of an expression."""
-    return _build(parse(code), scope)
+    """The value of an expression, by the scope's engine if it has one."""
+    return scope.engine(code, scope) if scope.engine else _build(parse(code), scope)
 
 
 def predicate(code: str | None, scope: Scope) -> Column:
@@ -254,9 +263,8 @@ def parameters(value, scope: Scope) -> Value:
         return Value(F.struct(*(v.column.alias(k) for k, v in items.items())), T.StructType([T.StructField(k, v.kind) for k, v in items.items()]))
     if isinstance(value, list):
         items = [parameters(v, scope) for v in value]
-        return Value(F.array(*(v.column for v in items)), T.ArrayType(items[0].kind if items else T.StringType()))
+        # of items of several types, the array holds texts
+        mixed = len({v.kind.simpleString() for v in items}) > 1 and not all(isinstance(v.kind, T.NumericType) for v in items)
+        columns = [text(v.column, v.kind) for v in items] if mixed else [v.column for v in items]
+        return Value(F.array(*columns), T.ArrayType(T.StringType() if mixed or not items else items[0].kind), items=tuple(items))
     return _literal(value)
-
-
-#: Another engine may take the place of this one: anything that makes a value of code and a scope.
-Compiler = Callable[[str, Scope], Value]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,7 +32,8 @@ def thawed(now: Column, micros: Column) -> Column:
 
 
 def deadline(start: Column, seconds: Column) -> Column:
-    return F.timestamp_add("SECOND", seconds, start)
+    """So many seconds, which may have a fraction, after the start."""
+    return F.timestamp_add("MICROSECOND", F.round(seconds.cast("double") * 1e6).cast("bigint"), start)
 
 
 FATAL, TIMEOUT, FAILED = "fatal_error", "timeout", "activity_failed"
@@ -50,13 +52,13 @@ def classify(code: Column) -> Column:
     return F.when(code.isin("deadline_exceeded", "wait_timeout"), TIMEOUT).when(code.isin(TIMEOUT, FATAL, FAILED), code).otherwise(FAILED)
 
 
-def first_policy(kind: Column, policies: list[list[str]]) -> Column:
-    """The place, from 0, of the first policy with a pattern that the error meets; NULL if none. An empty list is
-    ["all"]."""
+def first_policy(kind: Column, policies: list[list[str]], empty: list[str] = ["all"]) -> Column:
+    """The place, from 0, of the first policy with a pattern that the error meets; NULL if none. An empty list stands for
+    ["all"] in policies of retries, for none in handlers."""
     out = F.lit(None).cast("int")
     for i in range(len(policies) - 1, -1, -1):
         hit = F.lit(False)
-        for p in policies[i] or ["all"]:
+        for p in policies[i] or empty:
             hit = hit | matches_error(kind, F.lit(p))
         out = F.when(hit, F.lit(i)).otherwise(out)
     return out
@@ -125,6 +127,32 @@ def contains(m: Column, wanted: dict[str, str]) -> Column:
     return out
 
 
+def checked(c: Column, allowed: list[str], what: str) -> Column:
+    """A text that must be one of a few; another one is an error when it is read. NULL stays."""
+    return F.when(c.isNull() | c.isin(*allowed), c).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what} "), c)).cast("string"))
+
+
+def with_path(value: Column, kind: T.DataType, path: str, new: Column) -> Column:
+    """A struct or map with the field at a dotted path set: structs on the way that aren't there are made, and take the place
+    of what is no struct or map. A path with an empty part changes nothing."""
+    parts = path.split(".")
+    if not all(parts):
+        return value
+
+    def put(v: Column | None, k: T.DataType | None, rest: list[str]) -> Column:
+        if not rest:
+            return new
+        if isinstance(k, T.MapType):
+            return F.map_concat(F.map_filter(v, lambda name, _: name != rest[0]), F.create_map(F.lit(rest[0]), put(v[rest[0]], k.valueType, rest[1:])))
+        names = k.names if isinstance(k, T.StructType) else []
+        out = [put(v[n], k[n].dataType, rest[1:]).alias(n) if n == rest[0] else v[n].alias(n) for n in names]
+        if rest[0] not in names:
+            out.append(put(None, None, rest[1:]).alias(rest[0]))
+        return F.struct(*out)
+
+    return put(value, kind, parts)
+
+
 # JSON. Queries by path stay in the JVM; what needs a whole document goes to Python in Arrow batches.
 
 
@@ -192,5 +220,7 @@ def json_parse(doc: Column, schema: str | None = None) -> Column:
 
 
 def printed(form: str, *values: Column) -> Column:
-    """A printf-like text; %v is %s."""
-    return F.format_string(form.replace("%v", "%s"), *values)
+    """A printf-like text, by a constant form. %v, %+v and %q stand for any value, %t for booleans, %d for whole numbers;
+    %% is a sign; other verbs are those of the JVM."""
+    form = re.sub(r"%([-+ 0-9.]*)([vtq])", lambda m: f'"%{m[1].strip("+ ")}s"' if m[2] == "q" else f"%{m[1].strip('+ ')}s", form)
+    return F.format_string(form, *values)

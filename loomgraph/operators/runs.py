@@ -18,7 +18,7 @@ PAGE = 50
 class RunFilter:
     """What a listing asks for; what is empty isn't asked for. cursor: (created_at, id) of the last row seen."""
 
-    workflow_type: str = ""
+    definition_type: str = ""
     status: str = ""
     project_id: str = ""
     parent_run_id: str = ""
@@ -34,7 +34,7 @@ def scope(org_id: str) -> Column:
 
 def where(org_id: str, f: RunFilter, cursor: bool = True) -> Column:
     conds = [scope(org_id)]
-    conds += [F.col(c) == v for c in ("workflow_type", "status", "project_id", "parent_run_id", "initiated_by") if (v := getattr(f, c))]
+    conds += [F.col(c) == v for c in ("definition_type", "status", "project_id", "parent_run_id", "initiated_by") if (v := getattr(f, c))]
     if f.metadata:
         conds.append(S.contains(F.col("metadata"), f.metadata))
     if cursor and f.cursor:
@@ -44,6 +44,18 @@ def where(org_id: str, f: RunFilter, cursor: bool = True) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
+class NotFound(LookupError):
+    """There is no such run, or it is of another organisation."""
+
+
+def fetch(runs: DataFrame, org_id: str, run_id: str):
+    """The row of a run, or NotFound."""
+    row = get(runs, org_id, run_id).first()
+    if row is None:
+        raise NotFound(run_id)
+    return row
+
+
 def get(runs: DataFrame, org_id: str, run_id: str) -> DataFrame:
     return runs.where((F.col("id") == run_id) & scope(org_id)).limit(1)
 
@@ -90,10 +102,26 @@ def claim(runs: DataFrame, worker: str, now) -> DataFrame:
     return changed(joined, F.col("_claimed").isNotNull(), status="running", claimed_by=worker, heartbeat_at=F.lit(now), started_at=F.coalesce("started_at", F.lit(now)), attempt=F.col("attempt") + 1).drop("_claimed")
 
 
-def enqueue(runs: DataFrame, new: DataFrame) -> DataFrame:
-    """The table with new runs, queued, attempt 0; those whose id is there already are left out."""
-    fresh = new.join(runs.select("id"), "id", "left_anti").withColumns({"status": F.lit("queued"), "attempt": F.lit(0)})
-    return runs.unionByName(fresh, allowMissingColumns=True)
+def claim_batch(runs: DataFrame, worker: str, now, capacity: int) -> DataFrame:
+    """The oldest queued runs, as many as a worker has room for, set to running as by claim(). capacity is a worker's limit
+    of runs at once, so what is broadcast is as small."""
+    first = runs.where("status = 'queued'").orderBy("created_at", "id").limit(capacity).select(F.col("id").alias("_claimed"))
+    joined = runs.join(F.broadcast(first), F.col("id") == F.col("_claimed"), "left")
+    return changed(joined, F.col("_claimed").isNotNull(), status="running", claimed_by=worker, heartbeat_at=F.lit(now), started_at=F.coalesce("started_at", F.lit(now)), attempt=F.col("attempt") + 1).drop("_claimed")
+
+
+def enqueue(runs: DataFrame, new: DataFrame, skip: bool = False) -> DataFrame:
+    """The table with new runs, queued, attempt 0. An id that is there already, or twice among the new ones, is an error
+    when the table is read; with skip, its first row counts and the others are left out."""
+    new = new.withColumns({"status": F.lit("queued"), "attempt": F.lit(0)})
+    if skip:
+        return runs.unionByName(new.dropDuplicates(["id"]).join(runs.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    known = runs.select("id").distinct().withColumn("_known", F.lit(True))
+    twice = F.count(F.lit(1)).over(Window.partitionBy("id")) > 1
+    checked = new.join(known, "id", "left").withColumn("_bad", F.col("_known").isNotNull() | twice)
+    error = F.raise_error(F.concat(F.lit("a run has the id "), F.col("id").cast("string"))).cast("boolean")
+    # as a filter, so that no reader can do without it
+    return runs.unionByName(checked.where(F.when(F.col("_bad"), error).otherwise(True)).drop("_known", "_bad"), allowMissingColumns=True)
 
 
 def fence(run_id: str, worker: str, attempt: int, running: bool = False) -> Column:
@@ -159,6 +187,26 @@ def deletion(runs: DataFrame, org_id: str, run_id: str) -> str:
     return "missing" if row is None else "running" if row["status"] == "running" else ""
 
 
+def checkpoint_of(runs: DataFrame, run_id: str) -> bytes:
+    """The snapshot in a run's row; NotFound if there is none."""
+    row = runs.where(F.col("id") == run_id).select("checkpoint").first()
+    if row is None or row["checkpoint"] is None:
+        raise NotFound(f"checkpoint of {run_id}")
+    return bytes(row["checkpoint"])
+
+
+def reap(runs: DataFrame, ledger: DataFrame, before, max_attempts: int, now, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A round of the reaper: the runs after stale ones have failed or are queued again, and the ledger with what is then
+    due to be refunded. In this order, so that what has just failed is refunded in the same round."""
+    after = reclaim(dead_letter(runs, before, max_attempts, now, exclude), before, max_attempts, exclude)
+    return after, once(ledger, refunds(refund_pending(after, ledger)).withColumn("id", F.concat(F.lit("refund-"), F.col("run_id"))))
+
+
+def duration(start: Column, end: Column, checkpoint_at: Column | None = None) -> Column:
+    """Microseconds from start to end, or, of what hasn't ended, to its last checkpoint."""
+    return F.timestamp_diff("MICROSECOND", start, end if checkpoint_at is None else F.coalesce(end, checkpoint_at))
+
+
 # the ledger
 
 
@@ -178,11 +226,11 @@ def once(ledger: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def debits(runs: DataFrame) -> DataFrame:
-    return runs.where("credit_cost > 0").selectExpr("org_id", "id AS run_id", "workflow_type", "credit_cost AS amount", "'debit' AS reason")
+    return runs.where("credit_cost > 0").selectExpr("org_id", "id AS run_id", "definition_type", "credit_cost AS amount", "'debit' AS reason")
 
 
 def refunds(pending: DataFrame) -> DataFrame:
-    return pending.selectExpr("org_id", "id AS run_id", "workflow_type", "-credit_cost AS amount", "'refund' AS reason")
+    return pending.selectExpr("org_id", "id AS run_id", "definition_type", "-credit_cost AS amount", "'refund' AS reason")
 
 
 def refund_pending(runs: DataFrame, ledger: DataFrame, limit: int = 0) -> DataFrame:
@@ -194,6 +242,11 @@ def refund_pending(runs: DataFrame, ledger: DataFrame, limit: int = 0) -> DataFr
     return out.limit(limit) if limit else out
 
 
+def refund_candidates(runs: DataFrame) -> DataFrame:
+    """Failed runs that cost something, whether or not they were debited: for stores that keep no ledger of debits."""
+    return runs.where("status = 'failed' AND credit_cost > 0")
+
+
 def refunded(runs: DataFrame, ledger: DataFrame) -> DataFrame:
     on = (F.col("r.org_id").eqNullSafe(F.col("l.org_id"))) & (F.col("r.id") == F.col("l.run_id"))
     return runs.alias("r").join(ledger.where("reason = 'refund'").alias("l"), on, "left_semi")
@@ -220,6 +273,76 @@ def failed_attempt(outbox: DataFrame, ident: Column, error: str, column: str = "
     return changed(outbox, ident, status=again, attempts=F.col("attempts") + 1, **{column: error})
 
 
+def webhook_attempt(outbox: DataFrame, ident: Column, error: str) -> DataFrame:
+    """One attempt more and the error; the status stays, as deliveries in progress aren't pending."""
+    return changed(outbox, ident, attempts=F.col("attempts") + 1, last_error=error)
+
+
+FINISHED = ("completed", "failed")
+
+
+def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The runs whose status has changed, as they are after, with the status before (NULL of a new run)."""
+    old = before.select("id", F.col("status").alias("_was"))
+    return after.join(old, "id", "left").where(~F.col("status").eqNullSafe(F.col("_was"))).withColumnRenamed("_was", "was")
+
+
+def lifecycle_events(changed_: DataFrame, now) -> DataFrame:
+    """An event for each run that has begun or come to its end."""
+    kind = F.concat(F.lit("run."), F.col("status"))
+    return changed_.where(F.col("status").isin("running", *FINISHED)).select(F.col("id").alias("run_id"), kind.alias("event_type"), "attempt", F.col("claimed_by").alias("worker_id"), F.lit(now).alias("created_at"))
+
+
+def webhooks_due(changed_: DataFrame, now) -> DataFrame:
+    """A pending webhook for each run that has come to an end, whichever, and has an address to call back."""
+    ends = changed_.where(F.col("status").isin(*FINISHED) & (F.coalesce("callback_url", F.lit("")) != ""))
+    payload = F.to_json(F.struct(F.col("id").alias("run_id"), "status"))
+    return ends.select(
+        F.concat(F.lit("hook-"), F.col("id"), F.lit("-"), F.col("status")).alias("id"), F.col("id").alias("run_id"), F.col("callback_url").alias("url"), F.concat(F.lit("run."), F.col("status")).alias("event_type"),
+        payload.alias("payload"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit("").alias("last_error"), F.lit(now).alias("created_at"),
+    )
+
+
+def triggers_due(changed_: DataFrame, specs: DataFrame, now) -> DataFrame:
+    """A pending trigger for each follow-up, of specs (parent_run_id, child_spec), of a run that has completed."""
+    done = changed_.where("status = 'completed'").select(F.col("id").alias("parent_run_id"))
+    rows = specs.join(done, "parent_run_id")
+    return rows.select(S.minted("trig_", F.col("parent_run_id"), F.col("child_spec")).alias("id"), "parent_run_id", "child_spec", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit("").alias("error_message"), F.lit(now).alias("created_at"))
+
+
+def children_of(triggers: DataFrame, parents: DataFrame) -> DataFrame:
+    """The runs that triggers in progress begin: their ids follow from the triggers', so that doing it twice does it once;
+    organisation and project are their parents'."""
+    p = parents.select(F.col("id").alias("parent_run_id"), "org_id")
+    return triggers.where("status = 'processing'").join(p, "parent_run_id").select(F.regexp_replace("id", "^trig_", "run_").alias("id"), "parent_run_id", "org_id", F.col("child_spec").alias("definition_type"))
+
+
+def numbered(events: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """events and a batch of new ones, whose seq goes on from the largest. A batch is what one writer appends at a time: its
+    rows are numbered in one task."""
+    last = events.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("_last"))
+    rows = new.withColumn("_r", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(last))  # one row
+    return events.unionByName(rows.withColumn("seq", F.col("_last") + F.col("_r")).drop("_last", "_r"), allowMissingColumns=True)
+
+
+def paused(branches: DataFrame, ident: Column, reason: str, now) -> DataFrame:
+    """Branches marked as paused; of one that waits, the time that is left is kept instead of its end. One that is paused
+    already stays as it is."""
+    hit = ident & ~F.coalesce(F.col("paused"), F.lit(False))
+    return changed(branches, hit, paused=True, pause_reason=reason, remaining=S.remaining(F.col("wake_at"), F.lit(now)), wake_at=F.lit(None))
+
+
+def unpaused(branches: DataFrame, ident: Column, now) -> DataFrame:
+    """The reverse: a wait has its time again, from now on."""
+    hit = ident & F.coalesce(F.col("paused"), F.lit(False))
+    return changed(branches, hit, paused=False, pause_reason="", wake_at=S.thawed(F.lit(now), F.col("remaining")), remaining=F.lit(None))
+
+
+def unknown_keys(given: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The keys that were given but aren't known."""
+    return given.select(key).join(known.select(key), key, "left_anti")
+
+
 # progress, events
 
 

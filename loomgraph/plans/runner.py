@@ -107,7 +107,7 @@ def attempt(f: Callable[[], Any], retry: list[Retry] = (), catch: list[Catch] =
             return bounded(spark, policy.timeout if policy else limit, f), None, None
         except Exception as e:
             policy = policy or find_policy(e, list(retry))
-            if policy and tries <= policy.max_retries and any(matches(e, x) for x in policy.errors or ["all"]):
+            if policy and tries <= policy.max_retries and not isinstance(e, LeaseLost):
                 sleep(delay(tries, policy))
                 continue
             handler = find_policy(e, list(catch))
@@ -116,6 +116,23 @@ def attempt(f: Callable[[], Any], retry: list[Retry] = (), catch: list[Catch] =
             return None, handler, classify(e).record()
 
 
+def attempted(f: Callable[[], Any], retry: list[Retry]) -> tuple[Any, str | None, str | None, int]:
+    """(value, type of the error, its cause, attempts) of a call."""
+    tries = 0
+
+    def once() -> Any:
+        nonlocal tries
+        tries += 1
+        return f()
+
+    try:
+        return attempt(once, retry)[0], None, None, tries
+    except LeaseLost:
+        raise
+    except Exception as e:
+        return None, classify(e).kind, classify(e).cause, tries
+
+
 class Callbacks:
     """Before and after executions, branches and steps; a base to override."""
 

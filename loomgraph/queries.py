@@ -12,8 +12,9 @@ from loomgraph.functions.truth import truthy
 from loomgraph.operators import runs as R
 from loomgraph.operators.registry import Registry
 from loomgraph.plans.compile import KEY, VAR, Compiler
-from loomgraph.plans.spec import Definition, from_dict
+from loomgraph.plans.spec import Definition, Definitions, from_dict
 from loomgraph.sources import generated as G
+from loomgraph.streaming.durable import due
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,7 +44,7 @@ SELECT k, concat('run-', CAST(k AS {s})) AS id,
   CASE WHEN o_orderstatus = 'F' THEN 'failed' WHEN o_orderstatus = 'O' THEN 'queued' WHEN k % 2 = 0 THEN 'running' ELSE 'completed' END AS status,
   CAST(k % 4 AS INT) AS attempt,
   CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE concat('org-', CAST(o_custkey % 5 AS {s})) END AS org_id,
-  o_orderpriority AS workflow_type, CAST(k % 3 * 5 AS INT) AS credit_cost, concat('v', CAST(k % 6 AS {s})) AS tag,
+  o_orderpriority AS definition_type, CAST(k % 3 * 5 AS INT) AS credit_cost, concat('v', CAST(k % 6 AS {s})) AS tag,
   CASE WHEN k % 7 = 0 THEN NULL ELSE concat('run-', CAST(k - k % 7 AS {s})) END AS parent_run_id,
   concat('worker-', CAST(k % 3 AS {s})) AS claimed_by, o_orderdate AS created_at, o_orderdate AS heartbeat_at,
   CASE WHEN o_orderstatus = 'F' AND k % 10 <> 0 THEN o_orderdate + INTERVAL {day} ELSE NULL END AS completed_at
@@ -199,22 +200,43 @@ def branch_join_named(spark, d):
     return _compiled(spark, d, _JOIN, {"key": "o_orderkey"}).outputs
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 4")
+def _meeting(**join) -> Definition:
+    """Branches a and b are begun by price; final waits for branches, of which the one that began them is one."""
+    return from_dict({
+        "name": "meeting", "inputs": _inputs("price"), "outputs": [{"name": "price", "branch": "final"}],
+        "steps": [
+            {"name": "setup", "activity": "label", "parameters": {"value": "${inputs.price}"}, "store": "price",
+             "next": [{"step": "over", "branch": "a", "condition": "state.price > 100000"}, {"step": "under", "branch": "b", "condition": "state.price > 50000"}, {"step": "meet", "branch": "final"}]},
+            *_labels(("over", "a"), ("under", "b")),
+            {"name": "meet", "join": join},
+        ],
+    })
+
+
+@query("SELECT o_orderkey AS exec_id, o_totalprice AS price FROM orders WHERE o_totalprice > 100000")
 def branch_join_count(spark, d):
-    return R.ready_by_count(table(spark, d, "lineitem"), "l_orderkey", 4)
+    return _compiled(spark, d, _meeting(count=3), {"price": "o_totalprice"}).outputs
 
 
-@query("SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_linestatus = 'F') >= 2")
+@query("SELECT o_orderkey AS exec_id, o_totalprice AS price FROM orders WHERE o_totalprice > 50000")
 def branch_join_default(spark, d):
+    return _compiled(spark, d, _meeting(mappings={"a": "a"}), {"price": "o_totalprice"}).outputs
+
+
+@query("SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F') AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) FILTER (l_linestatus = 'F') >= 2")
+def completed_branches(spark, d):
     return R.ready_by_count(table(spark, d, "lineitem"), "l_orderkey", completed=F.col("l_linestatus") == "F")
 
 
 @query("SELECT c_custkey AS exec_id, c_custkey * 6 + 1 AS result FROM customer")
 def sub_pipeline(spark, d):
     inner = from_dict({"name": "inner", "inputs": _inputs("n"), "outputs": [{"name": "result"}], "steps": [{"name": "s", "activity": "scale", "parameters": {"value": "${inputs.n}", "by": 6}, "store": "result"}]})
-    got = Compiler(inner, _REGISTRY).compile(table(spark, d, "customer").withColumn(KEY, F.col("c_custkey")), columns={"n": "c_custkey"}).outputs
-    outer = from_dict({"name": "outer", "inputs": _inputs("r"), "outputs": [{"name": "result"}], "steps": [{"name": "s", "activity": "label", "parameters": {"value": "${inputs.r + 1}"}, "store": "result"}]})
-    return Compiler(outer, _REGISTRY).compile(got, columns={"r": "result"}).outputs
+    outer = from_dict({"name": "outer", "inputs": _inputs("n"), "outputs": [{"name": "result"}], "steps": [
+        {"name": "run", "activity": "child", "parameters": {"definition": "inner", "inputs": {"n": "${inputs.n}"}}, "store": "r", "next": [{"step": "s"}]},
+        {"name": "s", "activity": "label", "parameters": {"value": "${state.r.outputs.result + 1}"}, "store": "result"}]})
+    known = Definitions()
+    known.register(inner)
+    return Compiler(outer, _REGISTRY, definitions=known).compile(table(spark, d, "customer").withColumn(KEY, F.col("c_custkey")), columns={"n": "c_custkey"}).outputs
 
 
 @query("SELECT doc_id, CAST(len([x FOR x IN string_split(text, ' ') IF x <> '']) AS INT) AS n, [lower(x) FOR x IN string_split(text, ' ') IF x <> ''][1] AS first FROM documents")
@@ -270,13 +292,14 @@ def retry_policy(spark, d):
     return runs(spark, d).selectExpr("id", f"{_KINDS} AS kind").withColumn("policy", S.first_policy(F.col("kind"), [["timeout"], ["permission"], []]))
 
 
-_SEEN = "id, status, workflow_type, created_at"
+_SEEN = "id, status, definition_type, created_at"
 
 
 @query(_WITH + f"SELECT {_SEEN} FROM runs WHERE id = 'run-101' AND org_id IS NOT DISTINCT FROM (SELECT org_id FROM runs WHERE k = 101)")
 def run_get(spark, d):
     r = runs(spark, d)
-    return r.where("id = 'run-101'").select(*_SEEN.split(", "))
+    org = r.where("k = 101").select("org_id").first()
+    return R.get(r, (org and org["org_id"]) or "", "run-101").select(*_SEEN.split(", "))
 
 
 @query(_WITH + f"SELECT {_SEEN} FROM runs WHERE org_id = 'org-1' AND (created_at, id) < (TIMESTAMP '1998-01-01 00:00:00', 'run-5') ORDER BY created_at DESC, id DESC LIMIT 51")
@@ -289,9 +312,9 @@ def _ntz(s: str):
     return F.expr(f"TIMESTAMP_NTZ '{s}'")
 
 
-@query(_WITH + f"SELECT {_SEEN} FROM runs WHERE org_id IS NULL AND status = 'queued' AND workflow_type = '1-URGENT' AND tag = 'v1'")
+@query(_WITH + f"SELECT {_SEEN} FROM runs WHERE org_id IS NULL AND status = 'queued' AND definition_type = '1-URGENT' AND tag = 'v1'")
 def run_list_filters(spark, d):
-    f = R.RunFilter(status="queued", workflow_type="1-URGENT", metadata={"tag": "v1"})
+    f = R.RunFilter(status="queued", definition_type="1-URGENT", metadata={"tag": "v1"})
     r = runs(spark, d).withColumn("metadata", F.create_map(F.lit("tag"), F.col("tag")))
     return r.where(R.where("", f)).select(*_SEEN.split(", "))
 
@@ -329,9 +352,9 @@ def reclaim_post_state(spark, d):
     return R.reclaim(runs(spark, d), F.expr(NOW), 3, ["run-2", "run-4"]).select("id", "status", "claimed_by")
 
 
-@query(_WITH + f"SELECT id, org_id, workflow_type, credit_cost FROM runs WHERE {_STALE} AND attempt >= 2")
+@query(_WITH + f"SELECT id, org_id, definition_type, credit_cost FROM runs WHERE {_STALE} AND attempt >= 2")
 def dead_letter(spark, d):
-    return R.dead_letters(runs(spark, d), F.expr(NOW), 2, ["run-2", "run-4"]).select("id", "org_id", "workflow_type", "credit_cost")
+    return R.dead_letters(runs(spark, d), F.expr(NOW), 2, ["run-2", "run-4"]).select("id", "org_id", "definition_type", "credit_cost")
 
 
 @query(_WITH + f"SELECT count(*) FILTER ({_STALE} AND attempt < 3) AS n FROM runs")
@@ -347,7 +370,7 @@ def delete_guard(spark, d):
 @query(_WITH + "SELECT id, status, attempt FROM runs UNION ALL SELECT concat('run-', CAST(c_custkey * 50 AS VARCHAR)), 'queued', 0 FROM customer WHERE concat('run-', CAST(c_custkey * 50 AS VARCHAR)) NOT IN (SELECT id FROM runs)")
 def enqueue_dedupe(spark, d):
     new = table(spark, d, "customer").selectExpr("concat('run-', CAST(c_custkey * 50 AS STRING)) AS id")
-    return R.enqueue(runs(spark, d).select("id", "status", "attempt"), new)
+    return R.enqueue(runs(spark, d).select("id", "status", "attempt"), new.unionByName(new), skip=True)
 
 
 @query(_WITH + "SELECT r.id, r.org_id, r.credit_cost FROM runs r JOIN ledger l ON l.run_id = r.id AND l.reason = 'debit' WHERE r.status = 'failed' AND r.credit_cost > 0 AND NOT EXISTS (SELECT 1 FROM ledger x WHERE x.run_id = r.id AND x.reason = 'refund') ORDER BY r.completed_at NULLS LAST, r.id LIMIT 50")
@@ -440,7 +463,7 @@ def signal_wait_timeout(spark, d):
 
 @query(_WAITS + "SELECT exec_id, seq FROM waits WHERE wake_at <= TIMESTAMP '2024-01-15 00:00:00'")
 def sleep_due(spark, d):
-    return waits(spark, d).where(F.col("wake_at") <= _ntz("2024-01-15 00:00:00")).select("exec_id", "seq")
+    return due(waits(spark, d), _ntz("2024-01-15 00:00:00")).select("exec_id", "seq")
 
 
 @query(_WAITS + "SELECT seq, greatest(date_diff('microsecond', TIMESTAMP '2024-01-15 00:00:00', wake_at), 0) AS micros FROM waits")
@@ -483,7 +506,7 @@ def name_dupes(spark, d):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def key_difference(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return R.unknown_keys(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("WITH RECURSIVE t AS (SELECT o_orderkey AS exec_id, CAST(1 AS BIGINT) AS counter, o_orderkey % 5 AS most FROM orders UNION ALL SELECT exec_id, counter + 1, most FROM t WHERE counter <= most) SELECT exec_id, max(counter) AS counter FROM t GROUP BY exec_id")
@@ -497,7 +520,7 @@ def loop_counter(spark, d):
 
 @query(_WITH + "SELECT id, date_diff('microsecond', created_at, completed_at) AS micros FROM runs")
 def duration(spark, d):
-    return runs(spark, d).select("id", F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("completed_at")).alias("micros"))
+    return runs(spark, d).select("id", R.duration(F.col("created_at"), F.col("completed_at")).alias("micros"))
 
 
 @query(_WITH + ", a AS (SELECT id, status FROM runs WHERE k % 3 <> 0), b AS (SELECT id, CASE WHEN k % 5 = 0 THEN 'changed' ELSE status END AS status FROM runs WHERE k % 4 <> 0) SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'add' WHEN b.id IS NULL THEN 'delete' ELSE 'modify' END AS change, b.status FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.status <> b.status")
@@ -506,9 +529,9 @@ def state_diff(spark, d):
     return R.state_diff(r.where("k % 3 <> 0"), r.where("k % 4 <> 0").selectExpr("id", "CASE WHEN k % 5 = 0 THEN 'changed' ELSE status END AS status"), "id", "status")
 
 
-@query(_WITH + "SELECT id, coalesce(org_id, '') AS org_id, nullif(workflow_type, '5-LOW') AS workflow_type, regexp_matches(id, '^[A-Za-z_][A-Za-z0-9_]*$') AS is_identifier FROM runs")
+@query(_WITH + "SELECT id, coalesce(org_id, '') AS org_id, nullif(definition_type, '5-LOW') AS definition_type, regexp_matches(id, '^[A-Za-z_][A-Za-z0-9_]*$') AS is_identifier FROM runs")
 def null_mapping(spark, d):
-    return runs(spark, d).select("id", S.empty_if_null(F.col("org_id")).alias("org_id"), F.nullif("workflow_type", F.lit("5-LOW")).alias("workflow_type"), S.is_identifier(F.col("id")).alias("is_identifier"))
+    return runs(spark, d).select("id", S.empty_if_null(F.col("org_id")).alias("org_id"), F.nullif("definition_type", F.lit("5-LOW")).alias("definition_type"), S.is_identifier(F.col("id")).alias("is_identifier"))
 
 
 @query()
@@ -519,3 +542,7 @@ def random_number(spark, d):
 @query()
 def uuid_v4(spark, d):
     return spark.range(1000).select("id", G.uuid().alias("uuid"), G.hexadecimal().alias("hex"))
+
+
+# the rest of the queries, which use what is above, add themselves to QUERIES and SQL
+from loomgraph import graph_queries, store_queries  # noqa: E402, F401

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RUNS = "id string, spec binary, status string, attempt int, claimed_by string, heartbeat_at timestamp, checkpoint binary, result binary, error_message string, created_at timestamp, started_at timestamp, completed_at timestamp, org_id string, project_id string, parent_run_id string, workflow_type string, initiated_by string, credit_cost int, callback_url string, metadata map<string,string>"
+RUNS = "id string, spec binary, status string, attempt int, claimed_by string, heartbeat_at timestamp, checkpoint binary, result binary, error_message string, created_at timestamp, started_at timestamp, completed_at timestamp, org_id string, project_id string, parent_run_id string, definition_type string, initiated_by string, credit_cost int, callback_url string, metadata map<string,string>"
 STEP_PROGRESS = "execution_id string, step_name string, branch_id string, status string, activity string, attempt int, detail struct<Message:string,Data:map<string,string>>, started_at timestamp, finished_at timestamp, error string, updated_at timestamp"
 ACTIVITY_LOG = "id string, execution_id string, activity string, step_name string, branch_id string, parameters string, result string, error string, start_time timestamp, duration double"
 EVENTS = "seq bigint, run_id string, event_type string, attempt int, worker_id string, step_name string, payload string, created_at timestamp"
 TRIGGERS = "id string, parent_run_id string, child_spec string, status string, attempts int, error_message string, child_run_id string, created_at timestamp, processed_at timestamp"
-LEDGER = "id string, org_id string, run_id string, workflow_type string, amount int, reason string, created_at timestamp"
+LEDGER = "id string, org_id string, run_id string, definition_type string, amount int, reason string, created_at timestamp"
 WEBHOOKS = "id string, run_id string, url string, event_type string, payload string, status string, attempts int, last_error string, created_at timestamp, delivered_at timestamp"
 CHECKPOINTS = "execution_id string, number bigint, schema_version int, status string, state string, start_time timestamp, end_time timestamp, checkpoint_at timestamp"
 TABLES = {"runs": RUNS, "step_progress": STEP_PROGRESS, "activity_log": ACTIVITY_LOG, "events": EVENTS, "triggers": TRIGGERS, "ledger": LEDGER, "webhooks": WEBHOOKS}

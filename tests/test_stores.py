@@ -18,9 +18,9 @@ def at(s):
 
 @pytest.fixture(scope="module")
 def runs(spark):
-    rows = [dict(id=i, status=s, attempt=a, claimed_by=w, heartbeat_at=at(h), created_at=at(c), completed_at=None, started_at=None, org_id=o, workflow_type=t, credit_cost=k, metadata=m, error_message="") for i, s, a, w, h, c, o, t, k, m in [
+    rows = [dict(id=i, status=s, attempt=a, claimed_by=w, heartbeat_at=at(h), created_at=at(c), completed_at=None, started_at=None, org_id=o, definition_type=t, credit_cost=k, metadata=m, error_message="") for i, s, a, w, h, c, o, t, k, m in [
         ("r1", "queued", 0, "", 0, 1, "org-1", "a", 5, {"k": "v1"}), ("r2", "running", 1, "w", 0, 2, "org-1", "b", 5, {"k": "v2"}), ("r3", "running", 3, "w", 0, 3, "org-1", "a", 0, {"k": "v1"}), ("r4", "queued", 0, "", 0, 1, "org-2", "a", 5, {}), ("r5", "failed", 1, "", 0, 5, None, "a", 5, None)]]
-    return spark.createDataFrame(rows, "id string, status string, attempt int, claimed_by string, heartbeat_at timestamp, created_at timestamp, completed_at timestamp, started_at timestamp, org_id string, workflow_type string, credit_cost int, metadata map<string,string>, error_message string").cache()
+    return spark.createDataFrame(rows, "id string, status string, attempt int, claimed_by string, heartbeat_at timestamp, created_at timestamp, completed_at timestamp, started_at timestamp, org_id string, definition_type string, credit_cost int, metadata map<string,string>, error_message string").cache()
 
 
 def status(df):
@@ -28,7 +28,7 @@ def status(df):
 
 
 def test_listing(runs):
-    assert R.count(runs, "org-1", R.RunFilter(workflow_type="a")).first().n == 2
+    assert R.count(runs, "org-1", R.RunFilter(definition_type="a")).first().n == 2
     assert R.count(runs, "org-1", R.RunFilter(metadata={"k": "v1"})).first().n == 2
     page, cursor = R.paged(runs, "org-1", R.RunFilter(limit=2))
     assert [r.id for r in page] == ["r3", "r2"]
@@ -48,7 +48,12 @@ def test_queue(spark, runs):
     assert status(R.complete(runs, R.fence("r2", "w", 2), "completed", at(9)))["r2"] == "running"
     assert R.delete(runs, "org-1", "r2").count() == 5 and R.delete(runs, "org-1", "r1").count() == 4
     assert [R.deletion(runs, "org-1", x) for x in ("r1", "r2", "zz")] == ["", "running", "missing"]
-    assert R.enqueue(runs, spark.createDataFrame([("r1",), ("r9",)], "id string")).count() == 6
+    new = spark.createDataFrame([("r1",), ("r9",), ("r9",)], "id string")
+    assert R.enqueue(runs, new, skip=True).count() == 6
+    assert R.enqueue(runs, new.where("id = 'r9'").distinct()).count() == 6
+    for bad in (new.where("id = 'r1'"), new.where("id = 'r9'")):
+        with pytest.raises(Exception, match="a run has the id"):
+            R.enqueue(runs, bad).count()
 
 
 def test_ledger(spark, runs):
