@@ -381,12 +381,38 @@ def test_mixture_meets_its_weights(spark):
 def test_trie(rows):
     t, best = exact_dedup.Trie(), {}
     for s, i in rows:
-        new, owner = t.insert(s, i)
+        new, before, owner = t.insert(s, i)
+        assert before == best.get(s)
         assert new == (s not in best)
         best[s] = i if s not in best or best[s] is None else best[s] if i is None else min(best[s], i)
         assert owner == best[s]
 
 
+def test_tries_share_prefixes_and_close_subtrees(spark):
+    t = exact_dedup.Trie()
+    words = [f"{a}common prefix {i:03d}".encode() for a in "ab" for i in range(100)]
+    for i, w in enumerate(words):
+        t.insert(w, i)
+    assert t.nodes < 250 and t.held < sum(map(len, words)) / 5
+    assert sum(n for _, n in t.weight.values()) == t.nodes and sum(b for b, _ in t.weight.values()) == t.held
+    t.close(t.held // 2)
+    assert len(t.weight) == 1 and len(t.root[1]) == 1
+    t.close(0)
+    assert not t.root[1] and t.held == t.nodes == 0
+    rng = random.Random(4)
+    rows = [(rng.randrange(200), rng.choice(["x" * rng.randrange(4), f"long text {rng.randrange(40):02d} of some words", None])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    least = {}
+    for i, x in rows:
+        least[x] = min(i, least.get(x, i))
+    for most in (60, 1 << 20):
+        got = sorted((r.doc_id, r.owner_id) for r in exact_dedup.owners(df, most_bytes=most).collect())
+        assert got == sorted((i, i if x is None else least[x]) for i, x in rows)
+        kept = [(r.doc_id, r.text) for r in exact_dedup.exact_dedup(df, most_bytes=most).collect()]
+        assert sorted(x for x in kept if x[1] is not None) == sorted((i, x) for x, i in least.items() if x is not None)
+        assert sum(x is None for _, x in kept) == sum(x is None for _, x in rows)
+
+
 # html
 
 
