@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import checkpointed, col, fresh, read
 
-#: Rates of up to so many sources are broadcast (under 100 MB); of more, joined by a shuffle over salted sources.
-MOST_BROADCAST = 200_000
+#: Bytes of the sources' distribution functions that are broadcast, at most; if they are more, documents are joined with
+#: them by a shuffle over salted sources. Both ways give the same rows.
+MOST_BROADCAST = 32 << 20
 SALTS = 64
+#: A larger mean is the sum of equal ones of at most this, each with its own uniform number, so that a distribution
+#: function is at most about 150 numbers, however large the rate.
+MOST_MEAN = 64.0
 
 
 def thresholds(rate: float) -> list[float]:
@@ -53,37 +57,50 @@ def source_rates(docs: DataFrame, source_col: str, size_col: str, weights: dict
     return sizes.crossJoin(sums).select("source", "size", F.when((F.col("size") > 0) & (F.col("all_wanted") > 0), rate).otherwise(0.0).alias("rate"))
 
 
-def uniform(seed: int, id_col, text_col):
-    """52 bits of MD5 as a number in [0, 1)."""
+def uniform(seed: int, id_col, text_col, part=None):
+    """52 bits of MD5 as a number in [0, 1); of parts after the first one, another number for each."""
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), text_col, F.lit("")))
+    if part is not None:
+        named = F.concat(named, F.lit(":"), part.cast("string"))
     return F.conv(F.substring(F.md5(named), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def mix_sources(
     docs: DataFrame, weights: dict | None = None, power: float = 0.5, epochs: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str = "n_chars", copy_col: str | None = None, most_broadcast: int = MOST_BROADCAST
 ) -> DataFrame:
-    """The documents, each as often as its Poisson variate says, in a random order; with copy_col, numbered from 0.
+    """The documents, each as often as its Poisson variate says, in a random order; with copy_col, numbered from 0. A
+    copy_col that is a column of docs is a ValueError.
 
-    Sizes are the sums of size_col: where it is NULL, the characters of the text count; negative ones count 0. A NULL source is a source of its own. A source of
-    size 0, or one that weights doesn't name, gets rate 0: none of its documents stay. A document whose identifier is
-    NULL is hashed by its text instead. Rows that share an identifier share the number of copies. No rows give no rows.
+    Sizes are the sums of size_col: where it is NULL, the characters of the text count; negative ones count 0. A NULL
+    source is a source of its own. A source of size 0, or one that weights doesn't name, gets rate 0: none of its
+    documents stay. A document whose identifier is NULL is hashed by its text instead. Rows that share an identifier share
+    the number of copies, and their order among each other is left open. No rows give no rows.
     """
+    if copy_col and copy_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"{copy_col!r} is a column already")
 
     @F.pandas_udf("array<double>")
     def cdf(rate: pd.Series) -> pd.Series:
         return rate.map(thresholds)
 
-    rates = checkpointed(source_rates(docs, source_col, size_col, weights, power, epochs, text_col))
-    src, steps, copy, salt, order = fresh(docs.columns, "source_", "steps_", copy_col or "copy_", "salt_", "order_")
-    rates = rates.select(F.col("source").alias(src), cdf("rate").alias(steps))
+    rates = source_rates(docs, source_col, size_col, weights, power, epochs, text_col)
+    src, parts, steps, copy, salt, mine, order = fresh(docs.columns, "source_", "parts_", "steps_", copy_col or "copy_", "salt_", "salt_of_", "order_")
+    many = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN).cast("int"))
+    rates = checkpointed(rates.select(F.col("source").alias(src), many.alias(parts), cdf(F.col("rate") / many).alias(steps)))
     on = col(source_col).eqNullSafe(F.col(src))
-    if rates.limit(most_broadcast + 1).count() <= most_broadcast:
+    bytes_ = rates.agg(F.coalesce(F.sum(8 * F.size(steps) + 64), F.lit(0))).first()[0]
+    if bytes_ <= most_broadcast:
         joined = docs.join(F.broadcast(rates), on)
     else:
         spread = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn(f"{salt}l", F.pmod(F.xxhash64(col(id_col)), F.lit(SALTS)).cast("int")).join(spread, on & (F.col(f"{salt}l") == F.col(salt)))
-    u = uniform(seed, col(id_col), col(text_col))
-    times = F.aggregate(F.col(steps), F.lit(0), lambda n, c: n + F.when(c <= u, 1).otherwise(0))
+        joined = docs.withColumn(mine, F.pmod(F.xxhash64(col(id_col), col(text_col)), F.lit(SALTS)).cast("int")).join(spread, on & (F.col(mine) == F.col(salt)))
+
+    def variate(u):
+        return F.aggregate(F.col(steps), F.lit(0), lambda n, c: n + F.when(c <= u, 1).otherwise(0))
+
+    first = variate(uniform(seed, col(id_col), col(text_col)))
+    rest = F.aggregate(F.sequence(F.lit(1), F.col(parts) - 1), F.lit(0), lambda n, j: n + variate(uniform(seed, col(id_col), col(text_col), j)))
+    times = first + F.when(F.col(parts) > 1, rest).otherwise(0)
     # one row for each copy; of 0 copies, none
     out = joined.select(*(col(c) for c in docs.columns), times.alias(steps)).where(F.col(steps) > 0)
     out = out.select(*(col(c) for c in docs.columns), F.explode(F.sequence(F.lit(0), F.col(steps) - 1)).alias(copy))

@@ -103,6 +103,20 @@ def test_mixing(docs, none):
     few, many = (sorted(map(str, mixing.mix_sources(docs, power=1.0, most_broadcast=n).select("doc_id", "source").collect())) for n in (1000, 0))
     assert few == many
     assert mixing.mix_sources(docs, weights={"s9": 1.0}).collect() == []
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, copy_col="TEXT")
+    salted = docs.select("doc_id", "text", "source", "n_chars", F.lit(777).alias("salt_"), F.lit(778).alias("salt_l"), F.lit(779).alias("salt_of_"))
+    for n in (1 << 20, 0):
+        rows = mixing.mix_sources(salted, power=1.0, most_broadcast=n).select("salt_", "salt_l", "salt_of_").distinct().collect()
+        assert [tuple(r) for r in rows] == [(777, 778, 779)]
+
+
+def test_mixing_large_rates(spark):
+    rows = [(i, "t", "big" if i else "small", 10**6 if i else 1) for i in range(200)] + [(1000 + i, "t", "small", 1) for i in range(60)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), weights={"small": 1.0, "big": 199 * 10**6 / (61 * 300)})
+    counts = [r["count"] for r in out.where("source = 'small'").groupBy("doc_id").count().collect()]
+    mean = sum(counts) / 61
+    assert len(counts) == 61 and 285 < mean < 315 and 10 < (sum((c - mean) ** 2 for c in counts) / 60) ** 0.5 < 25
 
 
 def test_exact(docs, none):
