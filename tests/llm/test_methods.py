@@ -217,6 +217,30 @@ def test_signature_tree_loses_no_pair():
         assert len(x) == len(got)
 
 
+def test_short_sets_meet_by_their_index_alone():
+    """Two sets of 5 with one member in common (index 1/9) meet in a bucket as seldom as long ones would."""
+    rng = np.random.default_rng(5)
+    for size, shared, most, least in ((5, 1, 0.03, 0.0), (10, 1, 0.01, 0.0), (6, 4, 1.0, 0.93), (40, 27, 1.0, 0.93)):
+        met, trials = 0, 400
+        g = rng.integers(1, 2**63, (trials, 2 * size - shared)).astype(np.uint64)
+        h = np.concatenate([g[:, :size], np.concatenate([g[:, :shared], g[:, size:]], 1)])
+        h.sort(1)
+        keys = ngram_join._signatures(np.repeat(np.arange(2 * trials), size), h.ravel(), 2 * trials, 64, 4)[3]
+        met = np.mean([(keys[i] == keys[trials + i]).any() for i in range(trials)])
+        assert least <= met <= most, (size, shared, met)
+
+
+def test_overlaps_equal_set_intersections(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    off = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    x, y = rng.integers(0, 30, 500), rng.integers(0, 30, 500)
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)]
+    for at_once in (1, 50, 1 << 20):
+        monkeypatch.setattr(ngram_join, "AT_ONCE", at_once)
+        assert ngram_join._overlaps(x, y, off, np.concatenate(sets)).tolist() == want
+
+
 def gram_set(t: str, n: int = 3) -> frozenset:
     w = re.findall(r"[^\x00-\x20]+", t.lower())
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)]) if w else frozenset()
