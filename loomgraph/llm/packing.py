@@ -7,8 +7,9 @@ taken, so long pieces go first. As the choice depends on the histogram of length
 windows at once as the counts allow, and planning costs the same for any number of documents: the histogram has at most
 as many entries as the window has tokens.
 
-Documents are cut into pieces of at most a window. Pieces of one length are ranked; ranks, and with them windows, are
-found with a shuffle of (identifier, piece, length) only, never of text.
+Documents are cut into pieces of at most a window, at token boundaries; a document's pieces, one after another, are the
+document. Lengths are counted first, without text; then pieces are ranked among those of their length, for which they
+are shuffled once, text and all, and by its rank each piece finds its window.
 """
 
 from __future__ import annotations
@@ -84,41 +85,84 @@ def _plan_rows(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "from_rank", "to_rank", "per_window", "first_window", "offset"]).astype("int64")
 
 
-def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", length=None, pieces_per_bucket: int = 200_000) -> DataFrame:
-    """A row for each piece: doc_id, piece, start (the piece's first token in the document), n_tokens, window_id and
-    window_offset (the piece's first token in its window). The pieces of a window never overlap nor exceed it.
+def encoded(path: str):
+    """A function from a column of text to the column of its token numbers, by a tokenizer file at a path that all executors
+    can read; NULL for NULL."""
 
-    length: the column of token counts; without, the matches of TOKEN are counted. A document over the capacity is cut
-    into full windows and a rest; nothing of it is lost. NULL and empty texts, and others of no tokens, are one piece
-    of 0 tokens whose window_id and window_offset are NULL. Repeated rows are packed as often as they appear. No rows
-    give no rows.
+    @F.pandas_udf("array<int>")
+    def encode(text: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their names in a text are text
+        got = tokenizer.encode_batch([t or "" for t in text], add_special_tokens=False)
+        return pd.Series([None if t is None else e.ids for t, e in zip(text, got)], dtype="object")
+
+    return encode
+
+
+def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokens=None, pieces_per_bucket: int = 200_000) -> DataFrame:
+    """A row for each piece: doc_id, piece, start (the piece's first token in the document), n_tokens, window_id,
+    window_offset (the piece's first token in its window), and the piece itself: text, or tokens if these were given. The
+    pieces of a window never overlap nor exceed it.
+
+    tokens: the column of arrays of tokens, such as encoded(path)(col(text)); without, the matches of TOKEN count as tokens,
+    and blanks go with the token after them, those at the end with the last. A document over the capacity is cut into full
+    windows and a rest; nothing of it is lost. NULL and empty texts, and others of no tokens, are one piece of 0 tokens
+    whose window_id and window_offset are NULL. Repeated rows are packed as often as they appear; which of them, or of other
+    rows with one identifier, goes where is left open. No rows give no rows.
     """
-    tokens = F.regexp_count(col(text_col), F.lit(TOKEN)) if length is None else length
-    sized = checkpointed(docs.select(col(id_col).alias("doc_id"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n")))
+    given = tokens is not None
+    count = F.size(tokens) if given else F.regexp_count(col(text_col), F.lit(TOKEN))
+    count = F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).cast("long")
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("long")
+    place = [(F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("length")]
+
+    def cut(rows: DataFrame, total: int) -> DataFrame:
+        buckets = max(1, -(-total // pieces_per_bucket))
+        rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))
+        return rows.withColumns({"start": place[0], "length": place[1], "bucket": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))})
+
+    sized = checkpointed(docs.select(col(id_col).alias("doc_id"), count.alias("n")))
     total = sized.agg(F.sum(n_pieces)).first()[0] or 0
-    buckets = max(1, -(-total // pieces_per_bucket))
-    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("length"))
-    empty = pieces.where(F.col("length") <= 0)
-    pieces = pieces.where(F.col("length") > 0).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     # a piece's rank among those of its length: the ones in buckets before, and the ones before it in its bucket
-    counted = pieces.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    counted = cut(sized, total).where("length > 0").groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("m"))
     before = counted.selectExpr("length", "bucket", "sum(m) OVER (PARTITION BY length ORDER BY bucket) - m AS before")
     histogram = counted.groupBy("length").agg(F.sum("m").alias("n"))
     schema = "length long, from_rank long, to_rank long, per_window long, first_window long, offset long"
     plan = histogram.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _plan_rows(pdf, capacity), schema)
     # a length's part of the plan as one row: at most `capacity` rows, whatever the input, so it may be broadcast
     plan = checkpointed(plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("from_rank", "to_rank", "per_window", "first_window", "offset"))).alias("uses")))
-    ranked = pieces.join(before, ["length", "bucket"]).selectExpr("*", "before + row_number() OVER (PARTITION BY length, bucket ORDER BY doc_id, piece) - 1 AS r")
-    placed = _place(ranked.join(F.broadcast(plan), "length"))
-    nothing = empty.select("doc_id", "piece", "start", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("long").alias("window_offset"))
+    if given:
+        pieces = cut(docs.select(col(id_col).alias("doc_id"), tokens.alias("all_"), count.alias("n")), total)
+        pieces = pieces.withColumn("tokens", F.slice("all_", (F.col("start") + 1).cast("int"), F.lit(capacity))).drop("all_")
+    else:
+        text = col(text_col)
+        words = F.when(F.col("n") > capacity, F.regexp_extract_all(F.col("text"), F.lit(rf"\s*(?:{TOKEN})"), F.lit(0)))
+        pieces = cut(docs.select(col(id_col).alias("doc_id"), text.alias("text"), count.alias("n")).withColumn("all_", words), total)
+        part = F.array_join(F.slice("all_", (F.col("start") + 1).cast("int"), F.lit(capacity)), "")
+        last = F.col("start") + F.col("length") == F.col("n")
+        part = F.when(last, F.concat(part, F.regexp_extract("text", r"(\s*)\z", 1))).otherwise(part)
+        pieces = pieces.withColumn("text", F.when(F.col("all_").isNull(), F.col("text")).otherwise(part)).drop("all_")
+    what = "tokens" if given else "text"
+    pieces = pieces.select("doc_id", "piece", "start", "length", "bucket", what)
+    ranked = pieces.where("length > 0").join(before, ["length", "bucket"]).selectExpr("*", "before + row_number() OVER (PARTITION BY length, bucket ORDER BY doc_id, piece) - 1 AS r")
+    placed = _place(ranked.join(F.broadcast(plan), "length"), what)
+    nothing = pieces.where("length <= 0").select("doc_id", "piece", "start", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("long").alias("window_offset"), what)
     return placed.unionByName(nothing)
 
 
-def _place(ranked: DataFrame) -> DataFrame:
+def _place(ranked: DataFrame, what: str) -> DataFrame:
     use = F.element_at(F.filter("uses", lambda u: (u["from_rank"] <= F.col("r")) & (F.col("r") < u["to_rank"])), 1)
-    return ranked.withColumn("u", use).selectExpr("doc_id", "piece", "start", "length AS n_tokens", "u.first_window + (r - u.from_rank) DIV u.per_window AS window_id", "u.offset + length * ((r - u.from_rank) % u.per_window) AS window_offset")
+    return ranked.withColumn("u", use).selectExpr("doc_id", "piece", "start", "length AS n_tokens", "u.first_window + (r - u.from_rank) DIV u.per_window AS window_id", "u.offset + length * ((r - u.from_rank) % u.per_window) AS window_offset", what)
+
+
+def windows(packed: DataFrame) -> DataFrame:
+    """(window_id, n_tokens, pieces): each window's pieces in their order, as (window_offset, doc_id, piece, n_tokens, and
+    text or tokens). Pieces without tokens are in none. No rows give no rows."""
+    what = "tokens" if "tokens" in packed.columns else "text"
+    rows = packed.where("window_id IS NOT NULL").groupBy("window_id")
+    return rows.agg(F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("window_offset", "doc_id", "piece", "n_tokens", what))).alias("pieces"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

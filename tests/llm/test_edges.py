@@ -54,6 +54,33 @@ def test_packing(docs, none):
         assert at <= 64
 
 
+def test_pieces_are_the_documents(spark, docs):
+    odd = [(1, "  a b\n\nc-d  \t"), (2, "日本語" * 50 + "  \n"), (3, None), (4, "  "), (5, "x" * 301), (6, "e\u0301 \u00a0 \U0001f600" * 40)]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    for df in (more, docs.where("doc_id > 1").select("doc_id", "text")):
+        rows = packing.pack(df, 64).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: r.piece):
+            got[r.doc_id] = r.text if r.text is None else got.get(r.doc_id, "") + r.text
+        assert got == {r.doc_id: r.text for r in df.collect()}
+    again = packing.windows(packing.pack(more, 64)).collect()
+    assert all(sum(p.n_tokens for p in w.pieces) == w.n_tokens <= 64 for w in again) and len({w.window_id for w in again}) == len(again)
+    numbers = spark.createDataFrame([(1, list(range(150))), (2, None), (3, []), (4, [7])], "doc_id long, ids array<int>")
+    rows = packing.pack(numbers, 64, tokens=F.col("ids")).collect()
+    assert sorted(x for r in rows if r.doc_id == 1 for x in r.tokens) == list(range(150))
+    assert {r.doc_id: r.window_id for r in rows if r.doc_id in (2, 3)} == {2: None, 3: None}
+
+
+def test_encoding_by_a_public_tokenizer(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    df = spark.createDataFrame([(1, "Hello world <|endoftext|>"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", packing.encoded(path)(F.col("text")).alias("t")).collect()}
+    from tokenizers import Tokenizer
+
+    assert Tokenizer.from_file(path).decode(got[1], skip_special_tokens=False) == "Hello world <|endoftext|>" and 50256 not in got[1]
+    assert got[2] is None and got[3] == []
+
+
 def test_substrings(docs, none):
     assert substring_dedup.repeated_spans(none, 5).collect() == []
     got = {(r.doc_id, r.from_word, r.to_word) for r in substring_dedup.repeated_spans(docs, 5).collect()}
