@@ -9,13 +9,22 @@ import random
 import shutil
 import threading
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
+from loomgraph.operators import runs as R
 from loomgraph.plans.spec import Catch, Retry
+from loomgraph.sources.files import Files
+
+KEY = "exec_id"
 
 COMPLETED, FAILED, SUSPENDED, PAUSED = "completed", "failed", "suspended", "paused"
 
@@ -160,6 +169,9 @@ class Result:
     outputs: dict[str, Any] = field(default_factory=dict)
     error: RunError | None = None
     seconds: float = 0.0
+    reason: str = ""
+    topics: list[str] = field(default_factory=list)
+    wake_at: Any = None
 
     def completed(self) -> bool:
         return self.status == COMPLETED
@@ -167,6 +179,16 @@ class Result:
     def failed(self) -> bool:
         return self.status == FAILED
 
+    def suspended(self) -> bool:
+        return self.status == SUSPENDED
+
+    def paused(self) -> bool:
+        return self.status == PAUSED
+
+    def suspension(self) -> tuple[str, list[str], Any]:
+        """The reason that counts, the topics, and the earliest time to wake up; empty if nothing waits."""
+        return self.reason, self.topics, self.wake_at
+
     def needs_resume(self) -> bool:
         return self.status in (SUSPENDED, PAUSED)
 
@@ -264,38 +286,269 @@ class Runner:
         return out
 
 
-class FileCheckpoints:
-    """Snapshots of small driver state as JSON, each written whole and then renamed; a version that is unknown is
-    refused. For state of tables, see Materialised."""
+def collect(compiled: Any) -> list[Result]:
+    """A result for each execution of a compiled definition, for few executions: they are brought to the driver. Of one that
+    waits, the reason that counts, the topics and the earliest wake-up."""
+    began = time.monotonic()
+    names = [o.name for o in compiled.definition.outputs]
+    waits = R.suspension(compiled.suspended, KEY) if compiled.suspended is not None else None
+    rows = compiled.executions if waits is None else compiled.executions.join(waits.select(KEY, "wake_at", "topics", "reason"), KEY, "left")
+    out = []
+    for r in rows.collect():
+        error = RunError(r["error"]["Error"], r["error"]["Cause"]) if r["error"] else None
+        done = r["status"] == COMPLETED
+        out.append(Result(r["status"], {n: r[n] for n in names} if done else {}, error, time.monotonic() - began, (not done and r["reason"]) or "", list((not done and r["topics"]) or ()), None if done else r["wake_at"]))
+    return out
+
+
+class Detached:
+    """Children that run beside their parent, in threads of the driver: start() gives a handle at once, result() what it came
+    to. Results are kept for a while (an hour) after they came, in memory: a new driver doesn't know them."""
+
+    def __init__(self, at_once: int = 4, kept_seconds: float = 3600.0, clock: Callable[[], float] = time.monotonic):
+        self.pool, self.kept_seconds, self.clock = ThreadPoolExecutor(at_once), kept_seconds, clock
+        self.jobs: dict[str, Future] = {}
+        self.ended: dict[str, float] = {}
+
+    def start(self, f: Callable[[], Any]) -> str:
+        self._forget()
+        handle = uuid.uuid4().hex
+        self.jobs[handle] = job = self.pool.submit(f)
+        job.add_done_callback(lambda _: self.ended.__setitem__(handle, self.clock()))
+        return handle
+
+    def done(self, handle: str) -> bool:
+        self._forget()
+        return self._job(handle).done()
+
+    def result(self, handle: str, seconds: float | None = None) -> Any:
+        """What it came to, waiting so long at most; its error is raised."""
+        self._forget()
+        return self._job(handle).result(seconds)
+
+    def _job(self, handle: str) -> Future:
+        if handle not in self.jobs:
+            raise LookupError(f"no child {handle!r}")
+        return self.jobs[handle]
+
+    def _forget(self) -> None:
+        for h in [h for h, t in self.ended.items() if self.clock() - t > self.kept_seconds]:
+            del self.ended[h], self.jobs[h]
+
+
+class ProgressTracker(Callbacks):
+    """Rows of step progress, from callbacks and from reports of activities; sink, if any, is given each as it comes, and a
+    sink that fails is left out."""
+
+    def __init__(self, execution_id: str, sink: Callable[[dict], None] | None = None):
+        self.execution_id, self.sink = execution_id, sink
+        self.rows: list[dict[str, Any]] = []
+        self.last: dict[str, dict[str, Any]] = {}
+
+    def _add(self, step: str, **to: Any) -> None:
+        now = datetime.now(timezone.utc).replace(tzinfo=None)
+        row = {"execution_id": self.execution_id, "step_name": step, "branch_id": "main", "status": "running", "attempt": 1, "detail": None, "started_at": now, "finished_at": None, "error": "", **self.last.get(step, {}), **to, "updated_at": now}
+        self.last[step] = row
+        self.rows.append(row)
+        if self.sink:
+            try:
+                self.sink(row)
+            except Exception:  # what is told about a run doesn't change it
+                pass
+
+    def before(self, what: str, name: str) -> None:
+        if what != "step":
+            return
+        old = self.last.pop(name, None)
+        self._add(name, attempt=old["attempt"] + 1 if old and old["status"] != COMPLETED else 1)
+
+    def after(self, what: str, name: str, seconds: float, error: BaseException | None) -> None:
+        if what == "step":
+            self._add(name, status=FAILED if error else COMPLETED, error=str(error or ""), finished_at=datetime.now(timezone.utc).replace(tzinfo=None))
+
+    def report(self, step: str, message: str, data: dict[str, str] | None = None) -> None:
+        """What an activity says of how far it is."""
+        self._add(step, detail={"Message": message, "Data": data or {}})
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        schema = "execution_id string, step_name string, branch_id string, status string, attempt int, detail struct<Message:string,Data:map<string,string>>, started_at timestamp, finished_at timestamp, error string, updated_at timestamp"
+        return spark.createDataFrame([Row(**r) for r in self.rows], schema) if self.rows else spark.createDataFrame([], schema)
+
+
+@dataclass
+class WorkerConfig:
+    """A worker's limits, in seconds where not said otherwise. What contradicts itself is an error."""
+
+    concurrency: int = 10
+    claim_every: float = 5.0
+    heartbeat_every: float = 30.0
+    stale_after: float = 120.0
+    reap_every: float = 60.0
+    max_attempts: int = 3
+    run_timeout: float = 1800.0
+    webhooks: bool = False
+    deliver: Callable[[dict], None] | None = None
+
+    def __post_init__(self) -> None:
+        problems = [f"{k} must be positive" for k in ("concurrency", "claim_every", "heartbeat_every", "stale_after", "reap_every", "max_attempts", "run_timeout") if not getattr(self, k) > 0]
+        if self.stale_after <= self.heartbeat_every:
+            problems.append("stale_after must be more than heartbeat_every, or runs that are alive are taken for dead")
+        if self.webhooks and self.deliver is None:
+            problems.append("webhooks need something that delivers them")
+        if problems:
+            raise ValueError("; ".join(problems))
+
+
+class Checkpoints:
+    """Snapshots of small driver state by run; a base to override."""
 
     VERSION = 1
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def save(self, run_id: str, state: dict[str, Any]) -> None: ...
+
+    def load(self, run_id: str) -> dict[str, Any]:
+        raise LookupError(f"no checkpoint of {run_id!r}")
+
+    def delete(self, run_id: str) -> None: ...
+
+    def list(self) -> list[str]:
+        return []
+
+    def pause(self, run_id: str, branch: str, reason: str = "", now: float | None = None) -> None:
+        """Marks a branch of a stored run as paused; the rest of its wait is kept. Once more does nothing."""
+        self._change(run_id, branch, True, reason, time.time() if now is None else now)
+
+    def unpause(self, run_id: str, branch: str, now: float | None = None) -> None:
+        self._change(run_id, branch, False, "", time.time() if now is None else now)
+
+    def _change(self, run_id: str, branch: str, paused: bool, reason: str, now: float) -> None:
+        state = self.load(run_id)
+        b = state.get("branches", {}).get(branch)
+        if b is None:
+            raise LookupError(f"{run_id!r} has no branch {branch!r}")
+        if b.get("paused", False) == paused:
+            return
+        b["paused"], b["pause_reason"] = paused, reason
+        if paused and b.get("wake_at") is not None:
+            b["remaining"], b["wake_at"] = max(b["wake_at"] - now, 0.0), None
+        elif not paused and b.get("remaining") is not None:
+            b["wake_at"], b["remaining"] = now + b["remaining"], None
+        self.save(run_id, state)
+
+
+class NoCheckpoints(Checkpoints):
+    """Keeps nothing."""
+
+
+class MemoryCheckpoints(Checkpoints):
+    """Keeps copies, which later changes of what was saved don't reach."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, str] = {}
+
+    def save(self, run_id, state):
+        self.kept[run_id] = json.dumps(state)
 
-    def save(self, run_id: str, state: dict[str, Any]) -> None:
+    def load(self, run_id):
+        if run_id not in self.kept:
+            raise LookupError(f"no checkpoint of {run_id!r}")
+        return json.loads(self.kept[run_id])
+
+    def delete(self, run_id):
+        self.kept.pop(run_id, None)
+
+    def list(self):
+        return sorted(self.kept)
+
+    def snapshot(self) -> dict[str, dict[str, Any]]:
+        """All that is kept, for tests."""
+        return {k: json.loads(v) for k, v in self.kept.items()}
+
+
+class Fenced(Checkpoints):
+    """Saves only while a lease holds: held() is asked before each."""
+
+    def __init__(self, inner: Checkpoints, held: Callable[[], bool]):
+        self.inner, self.held = inner, held
+        self.load, self.delete, self.list = inner.load, inner.delete, inner.list
+
+    def save(self, run_id, state):
+        if not self.held():
+            raise LeaseLost(run_id)
+        self.inner.save(run_id, state)
+
+
+@dataclass(frozen=True)
+class Claim:
+    """A run that a worker holds; stores that are made of it write under its lease."""
+
+    run_id: str
+    worker: str
+    attempt: int
+
+    def checkpoints(self, inner: Checkpoints, held: Callable[[Claim], bool]) -> Fenced:
+        return Fenced(inner, lambda: held(self))
+
+    def progress(self, sink: Callable[[dict], None] | None = None) -> ProgressTracker:
+        return ProgressTracker(self.run_id, sink)
+
+    def lease(self) -> Column:
+        return R.fence(self.run_id, self.worker, self.attempt, running=True)
+
+
+class FileCheckpoints(Checkpoints):
+    """Snapshots as JSON, each written whole and then renamed, in a folder of any of Hadoop's file systems, or, without a
+    session, of this machine; a version that is unknown is refused. For state of tables, see Materialised."""
+
+    def __init__(self, folder: str, spark: SparkSession | None = None):
+        self.folder, self.files = folder.rstrip("/"), Files(spark) if spark else None
+
+    def _names(self, path: str) -> list[str]:
+        try:
+            return [n.rstrip("/") for n in self.files.list(path)] if self.files else os.listdir(path)
+        except (OSError, Py4JJavaError):  # it isn't there
+            return []
+
+    def _numbers(self, run_id: str) -> list[int]:
+        return sorted(int(f[11:-5]) for f in self._names(f"{self.folder}/{run_id}") if f.startswith("checkpoint-") and f.endswith(".json"))
+
+    def save(self, run_id, state):
+        n = max(self._numbers(run_id), default=0) + 1
+        part, at = f"{self.folder}/{run_id}/.part", f"{self.folder}/{run_id}/checkpoint-{n}.json"
+        text = json.dumps({"schema_version": self.VERSION, "number": n, "state": state})
+        if self.files:
+            self.files.write(part, text, mkdirs=True)
+            self.files.rename(part, at)
+            return
         os.makedirs(f"{self.folder}/{run_id}", exist_ok=True)
-        n = 1 + max((int(f[11:-5]) for f in os.listdir(f"{self.folder}/{run_id}") if f.startswith("checkpoint-") and f.endswith(".json")), default=0)
-        part = f"{self.folder}/{run_id}/.part"
         with open(part, "w", encoding="utf-8") as f:
-            json.dump({"schema_version": self.VERSION, "number": n, "state": state}, f)
-        os.replace(part, f"{self.folder}/{run_id}/checkpoint-{n}.json")
+            f.write(text)
+        os.replace(part, at)
 
-    def load(self, run_id: str) -> dict[str, Any]:
-        try:
-            names = [f for f in os.listdir(f"{self.folder}/{run_id}") if f.startswith("checkpoint-")]
-        except FileNotFoundError:
-            names = []
-        if not names:
+    def load(self, run_id):
+        numbers = self._numbers(run_id)
+        if not numbers:
             raise LookupError(f"no checkpoint of {run_id!r}")
-        with open(f"{self.folder}/{run_id}/{max(names, key=lambda f: int(f[11:-5]))}", encoding="utf-8") as f:
-            got = json.load(f)
+        at = f"{self.folder}/{run_id}/checkpoint-{numbers[-1]}.json"
+        got = json.loads(self.files.read(at) if self.files else Path(at).read_text(encoding="utf-8"))
         if not 1 <= got.get("schema_version", 0) <= self.VERSION:
             raise ValueError(f"checkpoint version {got.get('schema_version')} is unknown")
         return got["state"]
 
-    def delete(self, run_id: str) -> None:
-        shutil.rmtree(f"{self.folder}/{run_id}", ignore_errors=True)
-
-    def list(self) -> list[str]:
-        return sorted(os.listdir(self.folder)) if os.path.isdir(self.folder) else []
+    def delete(self, run_id):
+        if self.files:
+            self.files.delete_all(f"{self.folder}/{run_id}")
+        else:
+            shutil.rmtree(f"{self.folder}/{run_id}", ignore_errors=True)
+
+    def list(self):
+        return sorted(self._names(self.folder))
+
+    def summaries(self) -> list[dict[str, Any]]:
+        """(id, status, start, duration in seconds) of each run's newest snapshot, as far as its state tells, newest first."""
+        out = []
+        for run_id in self.list():
+            state = self.load(run_id)
+            start, end = state.get("start"), state.get("end") or state.get("checkpoint_at")
+            out.append({"id": run_id, "status": state.get("status", ""), "start": start, "seconds": end - start if start is not None and end is not None else None})
+        return sorted(out, key=lambda r: (r["start"] is None, -(r["start"] or 0), r["id"]))

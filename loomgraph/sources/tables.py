@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUNS = "id string, spec binary, status string, attempt int, claimed_by string, heartbeat_at timestamp, checkpoint binary, result binary, error_message string, created_at timestamp, started_at timestamp, completed_at timestamp, org_id string, project_id string, parent_run_id string, definition_type string, initiated_by string, credit_cost int, callback_url string, metadata map<string,string>"
@@ -73,6 +73,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ACTIVITY_LOG).json(path)
 
 
+def insert_log(rows: DataFrame, table: str) -> None:
+    """Appends entries to a table of the catalogue, with keys of their own where they have none."""
+    spark = rows.sparkSession
+    with_log_ids(rows).select(*spark.table(table).columns).write.insertInto(table)
+
+
 def history_of(log: DataFrame, execution_id: str) -> DataFrame:
     return log.where(F.col("execution_id") == execution_id).orderBy("start_time", "id")
 
@@ -85,7 +91,3 @@ def with_log_ids(log: DataFrame) -> DataFrame:
 def nowhere(df: DataFrame) -> None:
     """The sink that drops all: for plans that are run for their effect on metrics alone."""
     df.write.format("noop").mode("overwrite").save()
-
-
-def unix_seconds(c: Column) -> Column:
-    return F.unix_seconds(c)

@@ -174,7 +174,7 @@ def test_upsert_and_append_once(spark, tmp_path):
     s = stream(spark, tmp_path, batches, schema)
     write = durable.upsert_progress(str(tmp_path / "out"), ["k"], ["t"])
     finish(s.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    assert {(r.k, r.v) for r in durable.version(spark, str(tmp_path / "out")).collect()} == {("a", "y"), ("b", "z")}
+    assert {(r.k, r.v) for r in durable.progress_table(spark, str(tmp_path / "out")).collect()} == {("a", "y"), ("b", "z")}
     once = durable.append_once(str(tmp_path / "led"), ["k"])
     for i, b in enumerate([batches[0], batches[1], batches[1]]):
         once(spark.createDataFrame(b, schema), min(i, 1))
