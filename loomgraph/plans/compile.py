@@ -368,8 +368,8 @@ class Compiler:
         return df.drop("_here", "_topic", "_due", "_q", "_late", "_used", "_k"), F.col("_go")
 
     def _kept(self, df: DataFrame, *columns: str) -> DataFrame:
-        """The same rows; filters on these columns stay above, if the definition is long."""
-        if len(self.d.steps) <= LONG:
+        """The same rows; filters on these columns stay above, if the definition is long, or tries steps again."""
+        if len(self.d.steps) <= LONG and not self.fallible:
             return df
         return df.withColumns({c: F.when(F.monotonically_increasing_id() >= 0, F.col(f"`{c}`")) for c in columns})
 
