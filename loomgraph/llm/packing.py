@@ -101,7 +101,7 @@ def encoded(path: str):
     return encode
 
 
-def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokens=None, pieces_per_bucket: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokens=None, pieces_per_bucket: int = 5_000) -> DataFrame:
     """A row for each piece: doc_id, piece, start (the piece's first token in the document), n_tokens, window_id,
     window_offset (the piece's first token in its window), and the piece itself: text, or tokens if these were given. The
     pieces of a window never overlap nor exceed it.
@@ -118,42 +118,43 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col
     n_pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / capacity)).cast("long")
     place = [(F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).alias("length")]
 
-    def cut(rows: DataFrame, total: int) -> DataFrame:
-        buckets = max(1, -(-total // pieces_per_bucket))
+    def cut(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))
-        return rows.withColumns({"start": place[0], "length": place[1], "bucket": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))})
+        return rows.withColumns({"start": place[0], "length": place[1]})
+
+    def bucketed(pieces: DataFrame) -> DataFrame:
+        return pieces.join(F.broadcast(lengths), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
 
     sized = checkpointed(docs.select(col(id_col).alias("doc_id"), count.alias("n")))
-    total = sized.agg(F.sum(n_pieces)).first()[0] or 0
+    # at most `capacity` rows and one, whatever the input, so both this and the plan may be broadcast
+    histogram = checkpointed(cut(sized).groupBy("length").agg(F.count(F.lit(1)).alias("n")))
+    lengths = histogram.select("length", F.ceil(F.col("n") / pieces_per_bucket).alias("buckets"))
     # a piece's rank among those of its length: the ones in buckets before, and the ones before it in its bucket
-    counted = cut(sized, total).where("length > 0").groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    counted = bucketed(cut(sized)).groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("m"))
     before = counted.selectExpr("length", "bucket", "sum(m) OVER (PARTITION BY length ORDER BY bucket) - m AS before")
-    histogram = counted.groupBy("length").agg(F.sum("m").alias("n"))
     schema = "length long, from_rank long, to_rank long, per_window long, first_window long, offset long"
-    plan = histogram.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _plan_rows(pdf, capacity), schema)
-    # a length's part of the plan as one row: at most `capacity` rows, whatever the input, so it may be broadcast
+    plan = histogram.where("length > 0").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _plan_rows(pdf, capacity), schema)
     plan = checkpointed(plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("from_rank", "to_rank", "per_window", "first_window", "offset"))).alias("uses")))
     if given:
-        pieces = cut(docs.select(col(id_col).alias("doc_id"), tokens.alias("all_"), count.alias("n")), total)
+        pieces = cut(docs.select(col(id_col).alias("doc_id"), tokens.alias("all_"), count.alias("n")))
         pieces = pieces.withColumn("tokens", F.slice("all_", (F.col("start") + 1).cast("int"), F.lit(capacity))).drop("all_")
     else:
         text = col(text_col)
         words = F.when(F.col("n") > capacity, F.regexp_extract_all(F.col("text"), F.lit(rf"\s*(?:{TOKEN})"), F.lit(0)))
-        pieces = cut(docs.select(col(id_col).alias("doc_id"), text.alias("text"), count.alias("n")).withColumn("all_", words), total)
+        pieces = cut(docs.select(col(id_col).alias("doc_id"), text.alias("text"), count.alias("n")).withColumn("all_", words))
         part = F.array_join(F.slice("all_", (F.col("start") + 1).cast("int"), F.lit(capacity)), "")
         last = F.col("start") + F.col("length") == F.col("n")
         part = F.when(last, F.concat(part, F.regexp_extract("text", r"(\s*)\z", 1))).otherwise(part)
         pieces = pieces.withColumn("text", F.when(F.col("all_").isNull(), F.col("text")).otherwise(part)).drop("all_")
     what = "tokens" if given else "text"
-    pieces = pieces.select("doc_id", "piece", "start", "length", "bucket", what)
-    ranked = pieces.where("length > 0").join(before, ["length", "bucket"]).selectExpr("*", "before + row_number() OVER (PARTITION BY length, bucket ORDER BY doc_id, piece) - 1 AS r")
-    placed = _place(ranked.join(F.broadcast(plan), "length"), what)
-    nothing = pieces.where("length <= 0").select("doc_id", "piece", "start", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("long").alias("window_offset"), what)
-    return placed.unionByName(nothing)
+    pieces = bucketed(pieces.select("doc_id", "piece", "start", "length", what))
+    ranked = pieces.join(before, ["length", "bucket"]).selectExpr("*", "before + row_number() OVER (PARTITION BY length, bucket ORDER BY doc_id, piece) - 1 AS r")
+    # pieces of no tokens have no part in the plan
+    return _place(ranked.join(F.broadcast(plan), "length", "left"), what)
 
 
 def _place(ranked: DataFrame, what: str) -> DataFrame:
-    use = F.element_at(F.filter("uses", lambda u: (u["from_rank"] <= F.col("r")) & (F.col("r") < u["to_rank"])), 1)
+    use = F.try_element_at(F.filter("uses", lambda u: (u["from_rank"] <= F.col("r")) & (F.col("r") < u["to_rank"])), F.lit(1))
     return ranked.withColumn("u", use).selectExpr("doc_id", "piece", "start", "length AS n_tokens", "u.first_window + (r - u.from_rank) DIV u.per_window AS window_id", "u.offset + length * ((r - u.from_rank) % u.per_window) AS window_offset", what)
 
 
