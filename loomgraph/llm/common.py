@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, stored in the folder of spark.checkpoint.dir, which all executors share. Where the
-    setting is absent (tests, one machine) a temporary folder is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    setting is absent, on one machine, a temporary folder is set; on a cluster that is an error."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that checkpoints go to, set if it isn't yet."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df written as Parquet where checkpoints go and read again, and what deletes it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """Names like these that no column has, whatever its case."""
     taken, out = {c.lower() for c in columns}, []

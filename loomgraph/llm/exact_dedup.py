@@ -199,6 +199,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """owners() of all documents."""
     return owners(read(spark, sf_dir, "documents"))
 
 

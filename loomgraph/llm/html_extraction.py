@@ -301,5 +301,6 @@ def extract_pages(pages: DataFrame, model: Model, id_col: str = "page_id", html_
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract_pages() of all pages, by a model of some marked ones."""
     pages = read(spark, sf_dir, "pages")
     return extract_pages(pages, train_pages(pages))

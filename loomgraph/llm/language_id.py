@@ -11,6 +11,7 @@ Words and n-grams are hashed and looked up in NumPy, a megabyte of text at a tim
 from __future__ import annotations
 
 import functools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,8 +30,8 @@ LONGEST = 4
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """Whether each code point is a letter or a mark that joins one."""
-    return np.array([chr(c).isalpha() or 0x300 <= c < 0x370 for c in range(0x110000)], bool)
+    """Whether each code point is a letter or a mark that joins one, as the vowel signs of Indic scripts."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)], bool)
 
 
 class _Text:
@@ -131,7 +132,8 @@ def _count(counts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.
 
 
 def fit(rows: list[tuple[str, str]], least_word: int = 2, least_gram: int = 2) -> Model:
-    """The model of (language, text) rows, which must not be NULL."""
+    """The model of (language, text) rows, which must not be NULL. A word that occurs less often than least_word in all rows
+    together isn't known, as its frequency would tell the row rather than the language; n-grams likewise by least_gram."""
     languages = sorted({x for x, _ in rows})
     counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(LONGEST + 1)]  # of words, 1-grams, 2-grams ...
     for lang in languages:  # one at a time, as the arrays are many times as large as the texts
@@ -146,16 +148,21 @@ def fit(rows: list[tuple[str, str]], least_word: int = 2, least_gram: int = 2) -
 
 
 def training_rows(docs: DataFrame, most_per_language: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(language, text) of at most so many documents of each language. Only identifiers and languages are shuffled."""
+    """(language, text) of at most so many documents of each language, those of smallest hash of identifier. Only
+    identifiers and languages are shuffled. Rows with a NULL among the three don't count; rows that agree in all count
+    once, and of one identifier's rows in a language only so many as are bounded; no rows give none."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = docs.where(col(lang_col).isNotNull() & col(id_col).isNotNull()).select(col(id_col).alias("id"), col(lang_col).alias("lang"))
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_per_language).select("id").distinct()
+    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most_per_language).select("id", "lang").distinct()
     rows = docs.select(col(id_col).alias("id"), col(lang_col).alias("lang"), col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    pdf = rows.join(F.broadcast(ids), "id").select("lang", "text").toPandas().sort_values(["lang", "text"])
+    chosen = rows.join(F.broadcast(ids), ["id", "lang"]).withColumn("hash", F.xxhash64("text"))
+    # one text of each identifier and hash, so that repeated rows don't add up on the driver
+    pdf = chosen.groupBy("id", "lang", "hash").agg(F.first("text").alias("text")).select("lang", "text").toPandas().sort_values(["lang", "text"])
     return list(zip(pdf["lang"].tolist(), pdf["text"].tolist()))
 
 
 def fit_documents(docs: DataFrame, most_per_language: int = MOST_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The model of training_rows(); of no rows, one that knows no language."""
     return fit(training_rows(docs, most_per_language, id_col, text_col, lang_col))
 
 
@@ -179,5 +186,6 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of all documents, by a model of some of them."""
     docs = read(spark, sf_dir, "documents")
     return identify(docs, fit_documents(docs))

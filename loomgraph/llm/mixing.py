@@ -110,6 +110,7 @@ def mix_sources(
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_sources() of all documents, with the number of each copy."""
     return mix_sources(read(spark, sf_dir, "documents"), copy_col="copy")
 
 

@@ -167,4 +167,5 @@ def windows(packed: DataFrame) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents, into windows of 2048 tokens."""
     return pack(read(spark, sf_dir, "documents"))

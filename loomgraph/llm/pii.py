@@ -380,12 +380,14 @@ def collisions(mentions: DataFrame) -> DataFrame:
 
 
 def verify(docs: DataFrame, key: str, text_col: str = "text") -> None:
-    """CollisionError, if two entities of the whole table have one surrogate."""
+    """CollisionError, if two entities of the whole table have one surrogate. NULL and empty texts, repeated rows and empty
+    tables have nothing that could collide beyond what others have."""
     if collisions(entities(docs, key, text_col)).limit(1).count():
         raise CollisionError("two entities have one surrogate")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pseudonymise() of all documents, after verify() of all."""
     docs, key = read(spark, sf_dir, "documents"), spark.conf.get("spark.loomgraph.pii.key", "a key for tests; set your own")
     verify(docs, key)
     return pseudonymise(docs, key=key)

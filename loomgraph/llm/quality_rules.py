@@ -1,8 +1,8 @@
 """Quality rules as a learned decision list.
 
 Sequential covering over labelled documents: a rule grows one threshold condition at a time by information gain on two
-thirds of the labelled rows, is pruned on the other third, and is kept if it is precise enough there; the rows that it
-covers are set aside, and the next rule is grown from the rest. The rules are a Spark conditional expression in their
+thirds of the labelled rows, is pruned on the other third, and is kept if it is precise enough on all rows that are left;
+the rows that it covers are set aside, and the next rule is grown from the rest. The rules are a Spark conditional expression in their
 order, over statistics that are Spark expressions as well, so applying them needs neither Python nor a shuffle.
 """
 
@@ -91,7 +91,13 @@ def _grow(x: np.ndarray, bad: np.ndarray, thresholds: list[np.ndarray], most: in
 
 
 def learn(x: np.ndarray, bad: np.ndarray, names: list[str], min_precision: float = 0.9, min_covered: int = 5, most_rules: int | None = None, most_conditions: int = 5, cuts: int = 200) -> list[Rule]:
-    """The decision list for rows x of statistics, bad where a row's label is low. Rows 2, 5, 8 ... prune the rules."""
+    """The decision list for rows x of statistics, bad where a row's label is low. Rows 2, 5, 8 ... prune the rules. Of
+    conditions of equal gain the first counts, by the order of statistics, then "at most" before "over", then thresholds.
+
+    Learning ends with the first rule that is less precise than min_precision or covers fewer bad rows than min_covered;
+    most_rules ends it sooner, if it is given. A rule has at most most_conditions conditions, which keeps it readable: more
+    would only split off rows that a further rule may cover. Where a statistic has more values than cuts, its thresholds are
+    so many quantiles."""
     test = np.arange(len(x)) % 3 == 2
     rules: list[Rule] = []
     left = np.ones(len(x), bool)
@@ -133,7 +139,9 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int, id_col: s
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how) -> list[Rule]:
-    """The decision list; empty if there are too few labelled documents of either kind."""
+    """The decision list; empty if there are too few labelled documents of either kind, or none. Labels that are NULL, or
+    whose identifier is, don't count; NULL and empty texts have all statistics 0. A label counts for each row with its
+    identifier, of which there are as many as an identifier is repeated."""
     x, bad, names = labelled_statistics(docs, labels, most_labelled, id_col, text_col, label_col)
     return learn(x, bad, names, **how)
 
@@ -159,12 +167,14 @@ def classify(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_co
 
 
 def quality_filter(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows that no rule rejects, columns as they were."""
+    """The rows that no rule rejects, columns as they were, whatever their names. NULL and empty texts are judged by
+    statistics that are all 0; repeated rows share their fate; no rows give no rows."""
     (name,) = fresh(docs.columns, "rule_")
     kept = decisions(docs, rules, text_col, name).where(F.col(name) == 0)
     return kept.select(*(col(c) for c in docs.columns))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """classify() of all documents, by rules learned from labels."""
     docs = read(spark, sf_dir, "documents")
     return classify(docs, learn_rules(docs, read(spark, sf_dir, "labels")))

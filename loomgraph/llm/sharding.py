@@ -90,7 +90,9 @@ def _around(base: list[int], whole: int | None, k: int):
 
 
 def shard_groups(groups: DataFrame, k: int, per_bucket: int = 50_000, fan_in: int = 256) -> DataFrame:
-    """(group, size, shard) for a table (group, size) of distinct groups; shard is 0..k-1."""
+    """(group, size, shard) for a table (group, size) of distinct groups; shard is 0..k-1. Groups of equal size go by the
+    order of the groups. A size that is NULL counts 0, as do groups of no bytes, which go to any shard. No groups give no
+    rows."""
     if k < 1:
         raise ValueError("k must be at least 1")
     groups = checkpointed(groups)
@@ -149,4 +151,5 @@ def shard_documents(docs: DataFrame, k: int = 64, id_col: str = "doc_id", text_c
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard_documents() of all documents, copies kept together."""
     return shard_documents(read(spark, sf_dir, "documents"))

@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import Words, arrow_lists, col, column, fixed_binary, from_binary, large_strings, mix, read, run_starts, slices, whole_groups
 
 MIN_WORDS = 50
-#: Anchors in a group, at most, and of one prefix before it is divided by longer ones.
+#: Anchors in a group, at most, and of one prefix before it is divided by longer ones, down to paths of min_words words,
+#: which aren't divided further. It bounds memory; results are the same for any number.
 GROUP = 20_000
 
 _A, _C = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -526,4 +527,5 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """maximal_repeats() of all documents."""
     return maximal_repeats(read(spark, sf_dir, "documents"))

@@ -514,6 +514,50 @@ def test_language_against_plain_python():
     assert np.allclose(model.scores(texts), [brute_scores(model, raw, t) for t in texts], atol=1e-4)
 
 
+def test_query_of_language_against_single_texts(spark, sf):
+    """The query gives what the model's scores of each text alone give, all documents read."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit_documents(docs)
+    want = {}
+    for r in docs.collect():
+        s = model.scores([r.text or ""])[0]
+        want[r.doc_id] = model.languages[int(s.argmax())] if s.any() else None
+    assert {r.doc_id: r.language for r in language_id.op9_language_id(spark, sf).collect()} == want
+    assert len(language_id._Text(["नमस्ते दुनिया"]).start) == 2  # vowel signs don't cut words
+
+
+def brute_statistics(t: str) -> dict[str, float]:
+    import regex
+
+    words, lines = re.findall(r"[^ \t\n\x0b\f\r]+", t), [x for x in t.split("\n") if x.strip(" ")]
+    per = lambda x, n: x / n if n else 0.0
+    count = lambda p: len(regex.findall(p, t, regex.ASCII if r"\s" in p else 0))
+    return {
+        "n_words": len(words), "word_length": per(len(t), len(words)), "symbol_share": per(len(regex.findall(r"[^\p{L}\p{N} \t\n\x0b\f\r.,;:'\"()-]", t)), len(t)), "upper_share": per(count(r"\p{Lu}"), len(t)), "digit_share": per(count(r"\p{Nd}"), len(t)),
+        "distinct_word_share": per(len(set(words)), len(words)), "distinct_line_share": per(len(set(lines)), len(lines)), "words_per_line": per(len(words), len(lines)),
+    }
+
+
+def test_quality_query_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    rules = quality_rules.learn_rules(docs, spark.read.parquet(f"{SF01}/labels.parquet"))
+    assert rules
+    want = {}
+    for r in docs.collect():
+        stats = brute_statistics(r.text or "")
+        hit = [all(stats[n] > at if over else stats[n] <= at for n, over, at in rule.conditions) for rule in rules]
+        want[r.doc_id] = hit.index(True) + 1 if any(hit) else 0
+    got = {r.doc_id: r.rule for r in quality_rules.op4_quality_rules(spark, SF01).collect()}
+    assert got == want and 0 in got.values() and 1 in got.values()
+
+
+def test_query_of_pages_against_single_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    model = html_extraction.train_pages(pages)
+    want = {r.page_id: html_extraction.extract([r.html], model)[0] for r in pages.collect()}
+    assert {r.page_id: r.text for r in html_extraction.op8_html_extraction(spark, sf).collect()} == want and any(want.values())
+
+
 # pii
 
 KEY = b"key"
