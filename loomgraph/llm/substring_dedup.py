@@ -15,8 +15,10 @@ repeated_spans joins those that overlap or touch in a document.
 
 maximal_repeats follows the suffixes to their full depth. A repeat that can't be longer to the left begins at a deep
 node whose leaves differ in the word before (or have none); only those leaves' suffixes are taken, each as far as words
-are covered by deep nodes. Sorted, as in a suffix array, the longest repeat of each is what it has in common with a
-neighbour.
+are covered by deep nodes. As in a suffix tree, what lies between two branchings is one edge: where a deep node's leaves
+differ in the word after (or have none), an edge ends, and it is sent as its hash and length, not word by word. Two
+suffixes that agree so far have their branchings in the same places, as these follow from the words before them; and they
+part at one. Sorted by their edges, the longest repeat of each suffix is what it has in common with a neighbour.
 
 Runs, passages that repeat p words over and over (p up to half of min_words), would have each of their words begin a
 suffix as long as the rest of the text. A repeat that begins in a run and goes beyond its end, and can't be longer to the
@@ -120,26 +122,28 @@ def _sums(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _before(n_left: np.ndarray, left: np.ndarray, o: int) -> np.ndarray:
-    """The word before the suffixes that begin o words before their anchors, -1 if they begin the text."""
-    return np.where(n_left > o, left[:, o].astype(np.int64), -1)
+def _beside(n: np.ndarray, words: np.ndarray, o: int) -> np.ndarray:
+    """The word after o others, away from the anchor, -1 if the text has none there: of the words to the left, that before
+    the suffixes that begin o words before their anchors; of those to the right, that after a path."""
+    return np.where(n > o, words[:, o].astype(np.int64), -1)
 
 
 def _cut(min_words: int):
-    """Rows (prefix, id, at, around, before): an anchor with the words before and after it; or, of an anchor with too many
-    suffixes, each suffix by a longer prefix, its path, with at its first word, nothing around, and the word before."""
+    """Rows (prefix, id, at, around, before, after): an anchor with the words before and after it; or, of an anchor with too
+    many suffixes, each suffix by a longer prefix, its path, with at its first word, nothing around, and the words before
+    and after."""
     k = (min_words + 1) // 2
     side = min_words - k
 
     def around(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         doc = w.doc[at]
         n_left = np.minimum(at - w.first[doc], side + 1)
-        n_right = np.minimum(w.first[doc + 1] - at - k, side)
+        n_right = np.minimum(w.first[doc + 1] - at - k, side + 1)
         step = np.arange(side + 1)
         short = (w.hash >> np.uint64(32)).astype(np.uint32)
         last = len(w) - 1
         left = short[np.maximum(at[:, None] - 1 - step, 0)]
-        right = short[np.minimum(at[:, None] + k + step[:-1], last)]
+        right = short[np.minimum(at[:, None] + k + step, last)]
         return n_left, n_right, left, right
 
     def apply(batches):
@@ -162,15 +166,15 @@ def _cut(min_words: int):
                 n_left, n_right, left, right = around(w, at)
                 few = ~many
                 ctx = np.concatenate((n_left[few, None].astype(np.uint32), n_right[few, None].astype(np.uint32), left[few], right[few]), 1)
-                yield pa.record_batch([pa.array(h[few].view(np.int64)), pa.array(ids[i:j][doc[few]]), pa.array(rel[few].astype(np.int32)), fixed_binary(ctx), pa.nulls(int(few.sum()), pa.int64())], ["prefix", "id", "at", "around", "before"])
+                yield pa.record_batch([pa.array(h[few].view(np.int64)), pa.array(ids[i:j][doc[few]]), pa.array(rel[few].astype(np.int32)), fixed_binary(ctx), *[pa.nulls(int(few.sum()), pa.int64())] * 2], ["prefix", "id", "at", "around", "before", "after"])
                 if many.any():
                     h, rel, owner = h[many], rel[many], ids[i:j][doc[many]]
-                    nl, nr, words = n_left[many], n_right[many], left[many]
-                    ls, rs = _sums(words), _sums(right[many])
+                    nl, nr, words, more = n_left[many], n_right[many], left[many], right[many]
+                    ls, rs = _sums(words), _sums(more)
                     for o in range(side + 1):
                         fits = (nl >= o) & (nr >= side - o)
                         p = _path(h[fits], ls[fits], rs[fits], o, k, min_words)
-                        yield pa.record_batch([pa.array(p.view(np.int64)), pa.array(owner[fits]), pa.array((rel[fits] - o).astype(np.int32)), pa.nulls(int(fits.sum()), pa.binary()), pa.array(_before(nl[fits], words[fits], o))], ["prefix", "id", "at", "around", "before"])
+                        yield pa.record_batch([pa.array(p.view(np.int64)), pa.array(owner[fits]), pa.array((rel[fits] - o).astype(np.int32)), pa.nulls(int(fits.sum()), pa.binary()), pa.array(_beside(nl[fits], words[fits], o)), pa.array(_beside(nr[fits], more[fits], side - o))], ["prefix", "id", "at", "around", "before", "after"])
 
     return apply
 
@@ -185,19 +189,25 @@ def _deep(path: np.ndarray, ids: np.ndarray, at: np.ndarray, within: bool) -> np
     return out
 
 
-def _open(path: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Which suffixes are leaves of nodes whose leaves differ in the word before, or have none."""
+def _open(path: np.ndarray, *beside: np.ndarray) -> list[np.ndarray]:
+    """For each column of words beside the suffixes: which of these are leaves of nodes whose leaves differ in it, or have
+    none."""
     order = np.argsort(path, kind="stable")
     r = run_starts(path[order])
-    low = np.minimum.reduceat(before[order], r[:-1])
-    out = np.zeros(len(path), bool)
-    out[order] = np.repeat((low < 0) | (low != np.maximum.reduceat(before[order], r[:-1])), np.diff(r))
+    out = []
+    for x in beside:
+        x = x[order]
+        low = np.minimum.reduceat(x, r[:-1])
+        hit = np.zeros(len(path), bool)
+        hit[order] = np.repeat((low < 0) | (low != np.maximum.reduceat(x, r[:-1])), np.diff(r))
+        out.append(hit)
     return out
 
 
 def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
-    """Rows (id, a, b, at, open): the span of the deep nodes' leaves round the anchor at this word; and, if nodes are asked
-    for, a bit for each o from 0 on, set if the leaf o words before the anchor is one that a repeat may begin at."""
+    """Rows (id, a, b, at, open, ends): the span of the deep nodes' leaves round the anchor at this word; and, if nodes are
+    asked for, two bits for each o from 0 on: whether the leaf o words before the anchor is one that a repeat may begin at,
+    and whether an edge ends with its path."""
     k = (min_words + 1) // 2
     side = min_words - k
 
@@ -207,21 +217,21 @@ def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
         if by_path.any():
             deep = _deep(prefix[by_path], ids[by_path], at[by_path], within)
             a = at[by_path][deep]
-            bits = np.zeros((len(a), side + 1), bool)
+            bits = np.zeros((2, len(a), side + 1), bool)
             if nodes and len(a):
-                bits[:, 0] = _open(prefix[by_path][deep], t.column(4).filter(pa.array(by_path)).to_numpy()[deep])
+                bits[:, :, 0] = _open(prefix[by_path][deep], *(t.column(j).filter(pa.array(by_path)).to_numpy()[deep] for j in (4, 5)))
             yield ids[by_path][deep], a, a + min_words, a, bits
         rest = ~by_path
         if not rest.any():
             return
         prefix, ids, at = prefix[rest], ids[rest], at[rest]
-        ctx = from_binary(t.column(3).filter(pa.array(rest)), np.uint32, 3 + 2 * side)
+        ctx = from_binary(t.column(3).filter(pa.array(rest)), np.uint32, 4 + 2 * side)
         n_left, n_right = ctx[:, 0].astype(np.int64), ctx[:, 1].astype(np.int64)
-        words = ctx[:, 2 : 3 + side]
-        left, right = _sums(words), _sums(ctx[:, 3 + side :])
+        words, more = ctx[:, 2 : 3 + side], ctx[:, 3 + side :]
+        left, right = _sums(words), _sums(more)
         first = np.full(len(at), -1)
         last = np.full(len(at), -1)
-        bits = np.zeros((len(at), side + 1), bool)
+        bits = np.zeros((2, len(at), side + 1), bool)
         for o in range(side + 1):
             fits = np.flatnonzero((n_left >= o) & (n_right >= side - o))
             if not len(fits):
@@ -230,11 +240,11 @@ def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
             is_deep = _deep(path, ids[fits], at[fits], within)
             deep, path = fits[is_deep], path[is_deep]
             if nodes and len(deep):
-                bits[deep, o] = _open(path, _before(n_left[deep], words[deep], o))
+                bits[:, deep, o] = _open(path, _beside(n_left[deep], words[deep], o), _beside(n_right[deep], more[deep], side - o))
             last[deep] = np.where(last[deep] < 0, o, last[deep])
             first[deep] = o
         hit = first >= 0
-        yield ids[hit], (at - first)[hit], (at - last)[hit] + min_words, at[hit], bits[hit]
+        yield ids[hit], (at - first)[hit], (at - last)[hit] + min_words, at[hit], bits[:, hit]
 
     def apply(batches):
         held: list[pa.Table] = []
@@ -242,8 +252,8 @@ def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
 
         def flush():
             for ids, a, b, at, bits in spans(pa.concat_tables(held)):
-                bits = fixed_binary(np.packbits(bits, axis=1)) if nodes else pa.nulls(len(ids), pa.binary())
-                yield pa.record_batch([pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (a, b, at)), bits], ["id", "a", "b", "at", "open"])
+                bits = [fixed_binary(np.packbits(x, axis=1)) if nodes else pa.nulls(len(ids), pa.binary()) for x in bits]
+                yield pa.record_batch([pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (a, b, at)), *bits], ["id", "a", "b", "at", "open", "ends"])
 
         for t in whole_groups(batches):
             if held and n + t.num_rows > group:
@@ -276,24 +286,33 @@ def _merge(batches):
             yield pa.record_batch([pa.array(ids), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array((b - a).astype(np.int32))], ["doc_id", "from_word", "to_word", "n_words"])
 
 
-def _by_document(batches):
-    """Rows (id, at, to): the places in a document that a repeat may begin at, and how far spans reach from there; from
-    rows (id, a, b, at, open) sorted by id and a."""
-    for t in whole_groups(batches):
-        if not t.num_rows:
-            continue
-        ids, anchor = column(t, 0), column(t, 3).astype(np.int64)
-        own, _, end = _joined(ids, column(t, 1).astype(np.int64), column(t, 2).astype(np.int64))
-        width = len(t.column(4)[0].as_py())
-        row, o = np.nonzero(np.unpackbits(from_binary(t.column(4), np.uint8, width), axis=1))
-        if not len(row):
-            continue
-        places = np.unique(np.stack([ids[row], anchor[row] - o], 1), axis=0)
-        ids, a = places[:, 0], places[:, 1]
-        number = np.unique(np.concatenate((own, ids)), return_inverse=True)[1] << 33
-        to = end[np.searchsorted(end + number[: len(own)], a + number[len(own) :], "right")]
-        r = run_starts(ids)
-        yield pa.record_batch([pa.array(ids[r[:-1]]), arrow_lists(r, a.astype(np.int32)), arrow_lists(r, to.astype(np.int32))], ["id", "at", "to"])
+def _by_document(min_words: int):
+    """Rows (id, at, to, ends): the places in a document that a repeat may begin at, how far spans reach from there, and
+    where edges end; from rows (id, a, b, at, open, ends) sorted by id and a."""
+
+    def places(t: pa.Table, j: int, ids: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        width = len(t.column(j)[0].as_py())
+        row, o = np.nonzero(np.unpackbits(from_binary(t.column(j), np.uint8, width), axis=1))
+        return np.unique(np.stack([ids[row], anchor[row] - o], 1), axis=0)
+
+    def apply(batches):
+        for t in whole_groups(batches):
+            if not t.num_rows:
+                continue
+            ids, anchor = column(t, 0), column(t, 3).astype(np.int64)
+            own, _, end = _joined(ids, column(t, 1).astype(np.int64), column(t, 2).astype(np.int64))
+            begin, ends = (places(t, j, ids, anchor) for j in (4, 5))
+            if not len(begin):
+                continue
+            ids, a = begin.T
+            number = np.unique(np.concatenate((own, ids)), return_inverse=True)[1] << 33
+            to = end[np.searchsorted(end + number[: len(own)], a + number[len(own) :], "right")]
+            r = run_starts(ids)
+            ends = ends[np.isin(ends[:, 0], ids)]
+            cut = np.append(np.searchsorted(ends[:, 0], ids[r[:-1]]), len(ends))
+            yield pa.record_batch([pa.array(ids[r[:-1]]), *(arrow_lists(r, x.astype(np.int32)) for x in (a, to)), arrow_lists(cut, (ends[:, 1] + min_words).astype(np.int32))], ["id", "at", "to", "ends"])
+
+    return apply
 
 
 def runs(w: Words, min_words: int) -> np.ndarray:
@@ -363,31 +382,47 @@ def _in_runs(w: Words, doc: np.ndarray, rel: np.ndarray, to: np.ndarray, min_wor
 
 def _suffixes(min_words: int, most: int = 8 << 20):
     """Rows (node, suffix, id, at, near) of texts with the rows of _by_document and the places named by _run_places: the
-    first min_words words from a place on, as a hash, and the words that follow as far as spans reach. near is the least
-    hash of a few words among the first min_words ones: equal nodes have equal ones, and so have most neighbours in a
-    text, whose suffixes thus go to one place together and are compressed against each other."""
+    first min_words words from a place on, as a hash, and the edges that follow as far as spans reach, each as hash and
+    length. near is the least hash of a few words among the first min_words ones: equal nodes have equal ones, and so have
+    most neighbours in a text, whose suffixes thus go to one place together and are compressed against each other."""
     few = min(8, (min_words + 1) // 2)
 
+    def edges(w: Words, total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty((len(a), 3), np.uint32)
+        h = w.spans(a, b, total)
+        out[:, 0], out[:, 1], out[:, 2] = h >> np.uint64(32), h & np.uint64(0xFFFFFFFF), b - a
+        return out
+
     def apply(batches):
         for b in batches:
             ids, texts = column(b, 0), _unpack(b.column(1))
             for i, j in slices(texts):
                 w = Words(texts.slice(i, j - i))
-                h, _ = w.grams(min_words)
-                grams, _ = w.grams(few)
-                near = _sliding(grams, min_words - few + 1, True).view(np.int64) if len(w) >= min_words else grams.view(np.int64)
-                words = (w.hash >> np.uint64(32)).astype(">u4")
-                lists, ends = b.column(2).slice(i, j - i), b.column(3).slice(i, j - i)
+                if len(w) < min_words:
+                    continue
+                total = w.sums()
+                h, _ = w.grams(min_words, total)
+                near = _sliding(w.grams(few, total)[0], min_words - few + 1, True).view(np.int64)
+                lists, far, ends = (b.column(c).slice(i, j - i) for c in (2, 3, 4))
                 doc = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
                 rel = lists.flatten().to_numpy().astype(np.int64)
                 at = w.first[doc] + rel
-                to = np.minimum(w.first[doc] + ends.flatten().to_numpy(), w.first[doc + 1])
-                follow, to = _in_runs(w, doc, rel, to, min_words, b.column(4).slice(i, j - i))
+                to = np.minimum(w.first[doc] + far.flatten().to_numpy(), w.first[doc + 1])
+                follow, to = _in_runs(w, doc, rel, to, min_words, b.column(5).slice(i, j - i))
                 ok = follow & (to - at >= min_words)  # it may be less, if two rows have one identifier
+                doc, rel, at, to = doc[ok], rel[ok], at[ok], to[ok]
+                of = np.repeat(np.arange(j - i), ends.value_lengths().to_numpy())
+                stop = w.first[of] + ends.flatten().to_numpy()
+                stop = stop[stop <= w.first[of + 1]]
+                first, last = np.searchsorted(stop, at + min_words, "right"), np.searchsorted(stop, to, "right")
+                between = edges(w, total, stop[:-1], stop[1:])  # those across two texts are never used
+                some = last > first
+                begin = np.zeros((len(at), 3), np.uint32)
+                begin[some] = edges(w, total, at[some] + min_words, stop[first[some]])
                 out, size = [], 0
-                for v, p, e, d, q, c in zip(h[at[ok]].view(np.int64).tolist(), at[ok].tolist(), to[ok].tolist(), ids[i:j][doc[ok]].tolist(), rel[ok].tolist(), near[at[ok]].tolist()):
-                    out.append((v, words[p + min_words : e].tobytes(), d, q, c))
-                    size += 4 * (e - p)
+                for v, x, p, e, d, q, c in zip(h[at].view(np.int64).tolist(), begin, first.tolist(), last.tolist(), ids[i:j][doc].tolist(), rel.tolist(), near[at].tolist()):
+                    out.append((v, x.tobytes() + between[p : e - 1].tobytes() if e > p else b"", d, q, c))
+                    size += 12 * (e - p) + 40
                     if size > most:
                         yield _rows(out)
                         out, size = [], 0
@@ -417,12 +452,12 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def _common(x: bytes, y: bytes) -> int:
-    """Words that both begin with."""
-    n = min(len(x), len(y)) // 4
-    if x[: 4 * n] == y[: 4 * n]:
-        return n
-    differ = np.frombuffer(x, np.uint32, n) != np.frombuffer(y, np.uint32, n)
-    return int(differ.argmax())
+    """Words of the edges that both begin with."""
+    n = min(len(x), len(y)) // 12
+    a = np.frombuffer(x, np.uint32, 3 * n).reshape(n, 3)
+    if x[: 12 * n] != y[: 12 * n]:
+        a = a[: int((a != np.frombuffer(y, np.uint32, 3 * n).reshape(n, 3)).any(1).argmax())]
+    return int(a[:, 2].sum())
 
 
 def _longest(min_words: int):
@@ -492,8 +527,8 @@ def _leaves(texts: DataFrame, min_words: int, group: int, within: bool, nodes: b
     shared = found.mapInArrow(_shared(group, within), "id long, at int, many boolean")
     lists = shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "many"))).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.many").alias("many"))
     rows = _packed(texts).join(lists, "id").select("id", "packed", "at", "many")
-    cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary, before long").repartition("prefix").sortWithinPartitions("prefix")
-    return cut.mapInArrow(_trees(min_words, group, within, nodes), "id long, a int, b int, at int, open binary")
+    cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary, before long, after long").repartition("prefix").sortWithinPartitions("prefix")
+    return cut.mapInArrow(_trees(min_words, group, within, nodes), "id long, a int, b int, at int, open binary, ends binary")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", within: bool = False) -> DataFrame:
@@ -518,9 +553,9 @@ def maximal_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group: int = GR
     texts = _texts(docs, id_col, text_col)
     leaves = _leaves(texts, min_words, group, True, True).repartition("id").sortWithinPartitions("id", "a")
     # one plan without a cut: both joins read the same exchange of the texts
-    lists = leaves.mapInArrow(_by_document, "id long, at array<int>, to array<int>")
+    lists = leaves.mapInArrow(_by_document(min_words), "id long, at array<int>, to array<int>, ends array<int>")
     places = lists.join(_run_places(texts, min_words), "id", "left")
-    suffixes = _packed(texts).join(places, "id").select("id", "packed", "at", "to", "named").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int, near long")
+    suffixes = _packed(texts).join(places, "id").select("id", "packed", "at", "to", "ends", "named").mapInArrow(_suffixes(min_words), "node long, suffix binary, id long, at int, near long")
     longest = suffixes.repartition("near").sortWithinPartitions("node", "suffix", "id", "at").mapInArrow(_longest(min_words), "id long, a int, b int")
     spans = longest.repartition("id").sortWithinPartitions("id", "a", F.desc("b"))
     return spans.mapInArrow(_outer, "doc_id long, from_word int, to_word int, n_words int")
