@@ -93,6 +93,17 @@ def minted(prefix: str, *key: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(bits, 1, 26))
 
 
+BASE32 = "abcdefghijklmnopqrstuvwxyz234567"
+
+
+def execution_id(*key: Column) -> Column:
+    """An execution's identifier, a function of a natural key: exec_ and 26 signs of base 32."""
+    bits = F.sha2(F.to_json(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(key)))), 256)
+    # one sign for each two hexadecimal digits, of which it takes five bits
+    signs = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.substring(F.lit(BASE32), F.conv(F.substring(bits, 2 * i + 1, F.lit(2)), 16, 10).cast("int") % 32 + 1, F.lit(1)))
+    return F.concat(F.lit("exec_"), F.array_join(signs, ""))
+
+
 def to_utc_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 

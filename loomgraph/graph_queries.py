@@ -85,6 +85,19 @@ def two_waits(spark, d):
     return c.executions.select(KEY, "status", "one", "two")
 
 
+@_R.replayed("collect_two", "double")
+def _collect_two(context, plus):
+    return context.wait("t") + context.wait("t") + plus
+
+
+@query(_QUEUE + "SELECT u AS exec_id, CASE WHEN b.payload IS NULL THEN 'suspended' ELSE 'completed' END AS status, CASE WHEN b.payload IS NOT NULL THEN round(a.payload + b.payload + 1, 6) END AS total FROM u LEFT JOIN (SELECT * FROM q WHERE r = 1) a USING (u) LEFT JOIN (SELECT * FROM q WHERE r = 2) b USING (u)")
+def waits_in_activity(spark, d):
+    """An activity that waits twice while it runs."""
+    d_ = from_dict({"name": "w", "outputs": [{"name": "total"}], "steps": [{"name": "s", "activity": "collect_two", "parameters": {"plus": 1}, "store": "total"}]})
+    e = Compiler(d_, _R, signals=signals(spark, d)).compile(_users(spark, d)).executions
+    return e.select(KEY, "status", F.round("total", 6).alias("total"))
+
+
 @query(_QUEUE + "SELECT u AS exec_id, 'a' AS branch_id, payload FROM u JOIN q USING (u) WHERE r = 1 UNION ALL SELECT u, 'b', payload FROM u JOIN q USING (u) WHERE r = 2")
 def waits_of_branches(spark, d):
     """Branches that wait for one topic share its signals, in the order of their names."""

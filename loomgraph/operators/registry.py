@@ -24,13 +24,45 @@ class Activity:
     it, for what a column can't express, such as a join with a table; it sees all rows, and keeps them. outcome: from
     parameters, retry policies and whether a row is at the step to (value, kind, cause, attempts), kind being NULL where
     it went well; used where a step retries or catches, or where there is no column. python: column takes whether a row is
-    at the step as well, as Python would run for all."""
+    at the step as well, as Python would run for all. replay: for activities that wait for signals while they run; takes
+    the signals and those that are used as well, and tells what it waits for."""
 
     name: str
     column: Callable[..., Column] | None = None
     frame: Callable[[DataFrame, dict[str, Value]], tuple[DataFrame, Column]] | None = None
     outcome: Outcome | None = None
     python: bool = False
+    replay: Callable[..., Column] | None = None
+
+
+class Waits(Exception):
+    """Ends a call that needs a signal which isn't there; it is begun anew once it is."""
+
+    def __init__(self, topic: str):
+        super().__init__(topic)
+        self.topic = topic
+
+
+class Context:
+    """What a replayed activity is given: wait() takes the oldest signal of a topic that the execution hasn't used, and once()
+    keeps what something came to, so that a call of this row doesn't do it twice."""
+
+    def __init__(self, queue: list, used: list[int]):
+        self.queue, self.used = [q for q in queue if q["n"] not in used], list(used)
+        self.kept: dict[str, object] = {}
+
+    def wait(self, topic: str):
+        for q in self.queue:
+            if q["topic"] == topic:
+                self.queue.remove(q)
+                self.used.append(q["n"])
+                return q["payload"]
+        raise Waits(topic)
+
+    def once(self, key: str, f: Callable[[], object]):
+        if key not in self.kept:
+            self.kept[key] = f()
+        return self.kept[key]
 
 
 def retried(once: Callable[[Column], tuple[Column, Column, Column]], retry: list) -> Column:
@@ -116,6 +148,38 @@ class Registry:
 
         return add
 
+    def replayed(self, name: str, returns: str):
+        """Registers a function of a Context and Python values that may wait for signals. Where one isn't there, its execution
+        is suspended, and with a later table of signals the function runs from its begin: it must do the same again. Its
+        exceptions are errors of the row."""
+
+        def add(f: Callable):
+            def replay(p: dict[str, Value], queue: Column, used: Column, active: Column) -> Column:
+                names = list(p)
+
+                @F.pandas_udf(f"value {returns}, kind string, cause string, topic string, used array<int>")
+                def run(rows: pd.DataFrame, queue: pd.Series, used: pd.Series, here: pd.Series) -> pd.DataFrame:
+                    from loomgraph.plans.runner import classify
+
+                    out = []
+                    for r, q, u, h in zip(rows.itertuples(index=False), queue, used, here):
+                        c = Context(list(q) if q is not None else [], list(u) if u is not None else [])
+                        try:
+                            out.append((f(c, **dict(zip(names, r))) if h else None, None, None, None, c.used))
+                        except Waits as w:
+                            out.append((None, None, None, w.topic, list(u)))
+                        except Exception as e:
+                            out.append((None, classify(e).kind, classify(e).cause, None, list(u)))
+                    return pd.DataFrame(out, columns=["value", "kind", "cause", "topic", "used"])
+
+                params = F.struct(*(v.column.alias(k) for k, v in p.items())) if p else F.struct(F.lit(0).alias("_none"))
+                return run(params, queue, used, active)
+
+            self.register(Activity(name, replay=replay))
+            return f
+
+        return add
+
     def typed(self, name: str, schema: str):
         """Registers a function of one struct of a schema: parameters are cast to its fields, those that lack are NULL, and
         those that it doesn't have are errors of the plan."""

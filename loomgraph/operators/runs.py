@@ -418,6 +418,18 @@ def ready_by_name(branches: DataFrame, key: str, names: list[str]) -> DataFrame:
 # signals
 
 
+def send(signals: DataFrame, new: DataFrame) -> DataFrame:
+    """The table with new signals after those that are there; none is lost, whether or not somebody waits for it."""
+    return signals.unionByName(new, allowMissingColumns=True)
+
+
+def receive(signals: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The oldest signal of each key, and the table without these."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    ranked_ = signals.withColumn("_first", first)
+    return ranked_.where("_first").drop("_first"), ranked_.where("NOT _first").drop("_first")
+
+
 def rendezvous(waits: DataFrame, signals: DataFrame, keys: list[str], wait_order: list[str], signal_order: list[str]) -> DataFrame:
     """Waits with the signals they get, first come first served: the k-th wait of a key gets the k-th signal."""
     w = sequenced(waits, keys, wait_order, "rn")

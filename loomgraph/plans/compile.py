@@ -135,9 +135,10 @@ class Compiler:
         if step.activity == "child" and self.definitions is not None:
             return self._child(step, df, here)
         activity = self.registry.get(step.activity)
-        fails = activity.outcome is not None and (activity.column is None or bool(step.retry or step.catch))
+        replays = activity.replay is not None
+        fails = replays or activity.outcome is not None and (activity.column is None or bool(step.retry or step.catch))
         if step.each:
-            if activity.column is None or activity.python:
+            if activity.column is None or activity.python or replays:
                 raise InvalidDefinition([f"step {step.name!r}: {step.activity!r} can't be run for each item"])
             items = self._items(step, df)
 
@@ -150,7 +151,19 @@ class Compiler:
             scope = self._scope(df, step)
             params = {k: X.parameters(v, scope) for k, v in step.parameters.items()}
             active = F.lit(True) if here is None else here
-            if activity.frame:
+            if replays:
+                if "queue__" not in df.columns:
+                    raise InvalidDefinition([f"step {step.name!r} may wait for signals, but there is no table of them"])
+                used = F.array_distinct(F.flatten(F.collect_list(F.col(USED)).over(self._of_execution()))) if self.forked else F.col(USED)
+                come = F.filter("queue__", lambda q: q["ts"] <= self.now)
+                df = df.withColumn("_o", activity.replay(params, come, used, active))
+                result = F.col("_o.value")
+                waits = F.col("_o.topic").isNotNull() if here is None else here & F.col("_o.topic").isNotNull()
+                df = self._set(df, waits, {AT: F.lit(None).cast("string"), LAST: F.lit(step.name), STATUS: F.lit("suspended"), REASON: F.lit("waiting_signal"), TOPIC: F.col("_o.topic")})
+                df = self._set(df, None if here is None else F.col(AT) == step.name, {USED: F.col("_o.used")})
+                here = F.col(AT) == step.name
+                self.all_here = False
+            elif activity.frame:
                 df, result = activity.frame(df, params)
             elif fails:
                 df = df.withColumn("_o", activity.outcome(params, step.retry, active))
@@ -436,7 +449,7 @@ class Compiler:
         )
         self._begin()
         self.all_here = at is None
-        if self.signals is not None and any(s.wait_signal for s in self.d.steps):
+        if self.signals is not None and any(s.wait_signal or s.activity and self._replays(s.activity) for s in self.d.steps):
             q = self.signals.select(F.col(KEY).alias("_k"), F.col("topic").cast("string").alias("topic"), F.col("ts").cast("timestamp").alias("ts"), "payload")
             q = q.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("ts", "topic", "payload"))).alias("q"))
             numbered = F.transform("q", lambda x, i: F.struct(i.alias("n"), x["ts"].alias("ts"), x["topic"].alias("topic"), x["payload"].alias("payload")))
@@ -444,6 +457,9 @@ class Compiler:
             df = df.withColumn(USED, F.array().cast("array<int>"))
         return df
 
+    def _replays(self, activity: str) -> bool:
+        return activity in self.registry.names() and self.registry.get(activity).replay is not None
+
     def _run(self, df: DataFrame) -> DataFrame:
         order = self._order()
         if len(order) < len(self.d.steps):

@@ -215,6 +215,31 @@ def minted_ids(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.minted("run_", F.col("o_orderkey")).alias("id"))
 
 
+_SIGNS = "abcdefghijklmnopqrstuvwxyz234567"
+
+
+@query(f"SELECT o_orderkey, concat('exec_', array_to_string([substr('{_SIGNS}', CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INT) % 32 + 1, 1) FOR i IN range(26)], '')) AS id FROM (SELECT o_orderkey, sha256(concat('{{\"k0\":', CAST(o_orderkey AS VARCHAR), '}}')) AS h FROM orders)")
+def execution_ids(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", S.execution_id(F.col("o_orderkey")).alias("id"))
+
+
+_PURCHASES = "SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'"
+
+
+@query(f"SELECT user_id, event_id FROM ({_PURCHASES}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def signals_received(spark, d):
+    e = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    # sent in two parts, received in one order
+    sent = R.send(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"))
+    return R.receive(sent, ["user_id"], ["ts", "event_id"])[0].select("user_id", "event_id")
+
+
+@query(f"SELECT user_id, event_id FROM ({_PURCHASES}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1")
+def signals_left(spark, d):
+    e = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    return R.receive(e, ["user_id"], ["ts", "event_id"])[1].select("user_id", "event_id")
+
+
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_stringify(spark, d):
     return table(spark, d, "events").select("event_id", S.json_query(S.json_stringify(F.col("props")), "k").alias("k"))

@@ -13,6 +13,7 @@ from loomgraph import queries as Q
 from loomgraph.operators import runs as R
 from loomgraph.operators.registry import Registry, builtin, mock_error
 from loomgraph.plans import runner as RN
+from loomgraph.plans import state
 from loomgraph.plans.compile import Compiler
 from loomgraph.plans.spec import Definitions, InvalidDefinition, from_dict
 from loomgraph.sources import tables
@@ -107,6 +108,15 @@ def test_children(spark):
         pool.result(h)
 
 
+def test_state(spark):
+    d = from_dict({"name": "s", "state": {"a": 1}, "steps": [{"name": "s", "activity": "noop", "parameters": {"v": {"x": 2}}, "store": "b"}]})
+    rows = Compiler(d).compile(spark.range(1).selectExpr("id AS exec_id")).branches
+    rows = state.put(state.put(rows, "c.d.e", F.lit(3)), "b.y", F.lit(4))
+    assert state.keys(rows) == ["a", "b", "c"] and state.keys(state.delete(rows, "a")) == ["b", "c"]
+    r = rows.select(state.get(rows, "c.d.e").alias("e"), state.get(rows, "b.x").alias("x"), state.get(rows, "b.y").alias("y"), state.get(rows, "z").alias("z"), state.held(rows).alias("held")).first()
+    assert (r.e, r.x, r.y, r.z, r.held) == (3, 2, 4, None, ["a", "b", "c"])
+
+
 def test_results(spark):
     d = from_dict({"name": "r", "outputs": [{"name": "x"}], "steps": [{"name": "w", "wait_signal": {"topic": "t", "timeout": 60, "store": "x"}}]})
     signals = spark.sql("SELECT 0L AS exec_id, 't' AS topic, 'hi' AS payload, TIMESTAMP '2020-01-01 00:00:05' AS ts")
