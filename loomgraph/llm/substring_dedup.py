@@ -436,7 +436,8 @@ def _run_places(texts: DataFrame, min_words: int) -> DataFrame:
     """(id, named): the places in runs from which a repeat may go beyond the run: with as many of its words to come as
     another run of the same key has in all; or a run's first, if a longer run has the key, or one as long with another
     word before, or none."""
-    found = texts.mapInArrow(_runs(min_words), "key long, id long, at int, n int, before long")
+    # by key, as all that follows needs it, so that texts are read for it once
+    found = texts.mapInArrow(_runs(min_words), "key long, id long, at int, n int, before long").repartition("key")
     lengths = found.groupBy("key", "n").agg((F.min("before") != F.max("before")).alias("differ"), F.count(F.lit(1)).alias("all"), F.count("before").alias("known"))
     keys = lengths.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", (F.coalesce("differ", F.lit(False)) | ((F.col("all") > 1) & (F.col("known") < F.col("all")))).alias("open")))).alias("sizes"))
     keys = keys.where("size(sizes) > 1 OR exists(sizes, s -> s.open)")
