@@ -74,6 +74,12 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def scope_of(df: DataFrame, names: set[str] | None = None, bound: dict[str, X.Value] | None = None, engine: X.Engine | None = None) -> X.Scope:
+    """Where paths lead in rows of a definition: its inputs, and the variables of these names, or all."""
+    state = {c[len(VAR) :]: c for c in df.columns if c.startswith(VAR)}
+    return X.Scope(df, {c[len(IN) :]: c for c in df.columns if c.startswith(IN)}, state if names is None else {n: c for n, c in sorted(state.items()) if n in names}, bound, engine)
+
+
 def _reduced(f, columns: list[Column], none: Column) -> Column:
     return reduce(f, columns) if columns else none
 
@@ -101,8 +107,7 @@ class Compiler:
         self.steps: dict[str, DataFrame] = {}
 
     def _scope(self, df: DataFrame, step: Step, bound: dict[str, X.Value] | None = None, only: set[str] | None = None) -> X.Scope:
-        names = self.visible[step.name] if only is None else only
-        return X.Scope(df, {c[len(IN) :]: c for c in df.columns if c.startswith(IN)}, {n: VAR + n for n in sorted(names) if VAR + n in df.columns}, bound, self.engine)
+        return scope_of(df, self.visible[step.name] if only is None else only, bound, self.engine)
 
     def _set(self, df: DataFrame, when: Column | None, values: dict[str, Column]) -> DataFrame:
         """df with columns set on the rows where it is so (on all, without when). A column that is new is NULL elsewhere;

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import expressions as X
 from loomgraph.functions import scalars as S
 from loomgraph.functions.truth import text, truthy
-from loomgraph.plans.compile import _scope
+from loomgraph.plans.compile import scope_of
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,7 @@ def df(spark):
 
 
 def value(df, code):
-    return df.select(X.evaluate(code, _scope(df)).column.alias("x")).first().x
+    return df.select(X.evaluate(code, scope_of(df)).column.alias("x")).first().x
 
 
 @pytest.mark.parametrize(
@@ -30,7 +30,7 @@ def test_expressions(df, code, want):
 @pytest.mark.parametrize("code", ["state.missing > 1", "unknown", "len(state.items)", "1 +", "", "state.count +* 2", "(1", '"a" + 1', "a b", "state", "1 @ 2", '[1, "a"]', "state.count.x"])
 def test_errors(df, code):
     with pytest.raises(X.CompileError):
-        X.evaluate(code, _scope(df))
+        X.evaluate(code, scope_of(df))
 
 
 @pytest.mark.parametrize(
@@ -38,17 +38,17 @@ def test_errors(df, code):
     [("plain", "plain"), ("${state.count * 2}", 10), ("${inputs.base_url}/users/${state.user_name}", "http://h/users/Ann"), ("n=${state.none}.", "n=."), ("${state.d}!", "8!"), (" ${state.count} ", 5), ("${state.enabled}?", "true?")],
 )
 def test_templates(df, raw, want):
-    assert df.select(X.template(raw, _scope(df)).column.alias("x")).first().x == want
+    assert df.select(X.template(raw, scope_of(df)).column.alias("x")).first().x == want
 
 
 @pytest.mark.parametrize("raw", ["${1 + }", "${state.count", "${}", "${state.gone} x"])
 def test_malformed_templates(df, raw):
     with pytest.raises(X.CompileError):
-        X.template(raw, _scope(df))
+        X.template(raw, scope_of(df))
 
 
 def test_conditions(df):
-    got = df.select(*(X.predicate(c, _scope(df)).alias(str(i)) for i, c in enumerate([" True ", "FALSE", "", None, "state.user_name", "state.none", "state.items"]))).first()
+    got = df.select(*(X.predicate(c, scope_of(df)).alias(str(i)) for i, c in enumerate([" True ", "FALSE", "", None, "state.user_name", "state.none", "state.items"]))).first()
     assert list(got) == [True, False, True, True, True, False, True]
 
 
