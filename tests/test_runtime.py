@@ -13,7 +13,7 @@ from loomgraph import queries as Q
 from loomgraph.operators import runs as R
 from loomgraph.operators.registry import Registry, builtin, mock_error
 from loomgraph.plans import runner as RN
-from loomgraph.plans import state
+from loomgraph.plans import state, worker
 from loomgraph.plans.compile import Compiler
 from loomgraph.plans.spec import Definitions, InvalidDefinition, from_dict
 from loomgraph.sources import tables
@@ -198,6 +198,54 @@ def test_worker_configuration():
             RN.WorkerConfig(**bad)
 
 
+def test_worker_runs_what_it_claims():
+    queue = [RN.Claim(f"r{i}", "w", 1) for i in range(7)]
+    ended, events, refunds, most, now = {}, [], [], [0], [0]
+    lock = threading.Lock()
+
+    def claim(n):
+        with lock:
+            got, queue[:n] = queue[:n], []
+        return got
+
+    def handler(c):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        if c.run_id == "r3":
+            raise ValueError("no")
+        if c.run_id == "r4":
+            raise RN.LeaseLost(c.run_id)
+        return worker.completed(id=c.run_id)
+
+    def finish(c, r):
+        ended[c.run_id] = r
+        return c.run_id != "r5"
+
+    def debit(c):
+        if c.run_id == "r1":
+            raise OSError("the ledger is away")
+
+    store = worker.Store(claim, lambda c: True, finish, debit, lambda c, e: events.append((c.run_id, e)), lambda c: refunds.append(c.run_id))
+    w = worker.Worker(store, handler, RN.WorkerConfig(concurrency=2, claim_every=0.05))
+    t = threading.Thread(target=w.loop)
+    t.start()
+    for _ in range(200):
+        if len(ended) == 6 and not w.running:
+            break
+        time.sleep(0.02)
+    w.stop.set()
+    w.wake.notify()
+    t.join(5)
+    assert not t.is_alive() and most[0] == 2
+    assert {k: r.status for k, r in ended.items()} == {f"r{i}": "failed" if i == 3 else "completed" for i in (0, 1, 2, 3, 5, 6)}
+    assert refunds == ["r3"] and ("r3", "run.failed") in events and ("r5", "run.completed") not in events
+    assert [str(e) for e in w.errors] == ["the ledger is away"]
+
+
 def test_loops():
     wake, ran = durable.Wake(), []
     done = threading.Event()
