@@ -180,23 +180,40 @@ class Words:
         return mix((total[to] - total[at]) * down[at])
 
 
-def whole_groups(batches, key: int = 0):
-    """Tables of rows that come sorted by the 64-bit integers of a column, cut at changes of it only."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
+class Groups:
+    """Cuts rows that come sorted by the 64-bit integers of a column into tables, at changes of it only."""
+
+    def __init__(self, key: int = 0):
+        self.key = key
+        self.held: list[pa.RecordBatch] = []
+
+    def push(self, b: pa.RecordBatch) -> list[pa.Table]:
+        """What is whole, now that this batch has come."""
         if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        if held and held[-1].column(key)[-1].as_py() != int(k[0]):
-            yield pa.Table.from_batches(held)
-            held = []
+            return []
+        out = []
+        k = b.column(self.key).to_numpy(zero_copy_only=False)
+        if self.held and self.held[-1].column(self.key)[-1].as_py() != int(k[0]):
+            out += self.end()
         cut = int(np.searchsorted(k, k[-1], "left"))
         if cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
+            out.append(pa.Table.from_batches([*self.held, b.slice(0, cut)]))
+            self.held = []
+        self.held.append(b.slice(cut))
+        return out
+
+    def end(self) -> list[pa.Table]:
+        out = [pa.Table.from_batches(self.held)] if self.held else []
+        self.held = []
+        return out
+
+
+def whole_groups(batches, key: int = 0):
+    """Tables of rows that come sorted by the 64-bit integers of a column, cut at changes of it only."""
+    g = Groups(key)
+    for b in batches:
+        yield from g.push(b)
+    yield from g.end()
 
 
 def column(t: pa.Table | pa.RecordBatch, i: int) -> np.ndarray:

@@ -32,11 +32,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Words, arrow_lists, col, column, fixed_binary, from_binary, large_strings, mix, read, run_starts, slices, whole_groups
+from loomgraph.llm.common import Groups, Words, arrow_lists, col, column, fixed_binary, from_binary, large_strings, mix, read, run_starts, slices, whole_groups
 
 MIN_WORDS = 50
 #: Anchors in a group, at most, and of one prefix before it is divided by longer ones, down to paths of min_words words,
@@ -94,16 +95,44 @@ def _repeats(r: np.ndarray, ids: np.ndarray, at: np.ndarray, within: bool) -> np
 
 
 def _shared(group: int, within: bool):
-    """The anchors, from rows (anchor, id, at) sorted by anchor, that two documents have, or two places."""
+    """The anchors, from rows (anchor, id, at) sorted by anchor, that two documents have, or two places; many, if they have
+    more than a group. Of an anchor no more than a group is held at a time."""
+
+    def rows(ids: np.ndarray, at: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(ids), pa.array(at), pa.array(many)], ["id", "at", "many"])
 
     def apply(batches):
-        for t in whole_groups(batches):
-            h, ids, at = column(t, 0), column(t, 1), column(t, 2)
+        key, n, sent, ids, at = None, 0, False, np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+        def shared() -> bool:
+            return len(ids) > 1 and bool(_repeats(np.array([0, len(ids)]), ids, at, within)[0])
+
+        for b in batches:
+            h = column(b, 0)
             r = run_starts(h)
-            n = np.diff(r)
-            many = _repeats(r, ids, at, within)
-            keep = np.repeat(many, n)
-            yield pa.record_batch([pa.array(ids[keep]), pa.array(at[keep]), pa.array(np.repeat(n > group, n)[keep])], ["id", "at", "many"])
+            for j in sorted({0, len(r) - 2}) if len(h) else ():  # the runs that may go on before or after the batch
+                if j == 0 and h[0] == key:
+                    ids, at = np.concatenate((ids, column(b, 1)[: r[1]])), np.concatenate((at, column(b, 2)[: r[1]]))
+                    n += int(r[1])
+                else:
+                    if not sent and shared():
+                        yield rows(ids, at, np.full(len(ids), n > group))
+                    key, n, sent = int(h[r[j]]), int(r[j + 1] - r[j]), False
+                    ids, at = column(b, 1)[r[j] : r[j + 1]], column(b, 2)[r[j] : r[j + 1]]
+                if n > group and (sent or shared()):
+                    yield rows(ids, at, np.ones(len(ids), bool))
+                    ids, at, sent = ids[:0], at[:0], True
+                elif n > group:  # one place of rows that are repeated
+                    ids, at = ids[:1], at[:1]
+                if j == 0 and len(r) > 3:  # those in between are whole
+                    inner = slice(int(r[1]), int(r[-2]))
+                    cut = r[1:-1] - r[1]
+                    many = _repeats(cut, column(b, 1)[inner], column(b, 2)[inner], within)
+                    size = np.diff(cut)
+                    keep = np.repeat(many, size)
+                    yield rows(column(b, 1)[inner][keep], column(b, 2)[inner][keep], np.repeat(size > group, size)[keep])
+        if not sent and shared():
+            yield rows(ids, at, np.full(len(ids), n > group))
 
     return apply
 
@@ -207,25 +236,15 @@ def _open(path: np.ndarray, *beside: np.ndarray) -> list[np.ndarray]:
 def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
     """Rows (id, a, b, at, open, ends): the span of the deep nodes' leaves round the anchor at this word; and, if nodes are
     asked for, two bits for each o from 0 on: whether the leaf o words before the anchor is one that a repeat may begin at,
-    and whether an edge ends with its path."""
+    and whether an edge ends with its path. Rows of paths, without words around, bring these properties with them."""
     k = (min_words + 1) // 2
     side = min_words - k
 
     def spans(t: pa.Table):
-        prefix, ids, at = column(t, 0).view(np.uint64), column(t, 1), column(t, 2).astype(np.int64)
-        by_path = t.column(3).is_null().to_numpy()
-        if by_path.any():
-            deep = _deep(prefix[by_path], ids[by_path], at[by_path], within)
-            a = at[by_path][deep]
-            bits = np.zeros((2, len(a), side + 1), bool)
-            if nodes and len(a):
-                bits[:, :, 0] = _open(prefix[by_path][deep], *(t.column(j).filter(pa.array(by_path)).to_numpy()[deep] for j in (4, 5)))
-            yield ids[by_path][deep], a, a + min_words, a, bits
-        rest = ~by_path
-        if not rest.any():
+        if not t.num_rows:
             return
-        prefix, ids, at = prefix[rest], ids[rest], at[rest]
-        ctx = from_binary(t.column(3).filter(pa.array(rest)), np.uint32, 4 + 2 * side)
+        prefix, ids, at = column(t, 0).view(np.uint64), column(t, 1), column(t, 2).astype(np.int64)
+        ctx = from_binary(t.column(3), np.uint32, 4 + 2 * side)
         n_left, n_right = ctx[:, 0].astype(np.int64), ctx[:, 1].astype(np.int64)
         words, more = ctx[:, 2 : 3 + side], ctx[:, 3 + side :]
         left, right = _sums(words), _sums(more)
@@ -250,20 +269,39 @@ def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
         held: list[pa.Table] = []
         n = 0
 
-        def flush():
-            for ids, a, b, at, bits in spans(pa.concat_tables(held)):
-                bits = [fixed_binary(np.packbits(x, axis=1)) if nodes else pa.nulls(len(ids), pa.binary()) for x in bits]
-                yield pa.record_batch([pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (a, b, at)), *bits], ["id", "a", "b", "at", "open", "ends"])
+        def rows(ids: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            both = [fixed_binary(np.packbits(x, axis=1)) if nodes else pa.nulls(len(ids), pa.binary()) for x in bits]
+            return pa.record_batch([pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (a, b, at)), *both], ["id", "a", "b", "at", "open", "ends"])
 
-        for t in whole_groups(batches):
-            if held and n + t.num_rows > group:
-                yield from flush()
-                held, n = [], 0
-            held.append(t)
-            n += t.num_rows
+        def flush():
+            for x in spans(pa.concat_tables(held)):
+                yield rows(*x)
+
+        def take(tables: list[pa.Table]):
+            nonlocal held, n
+            for t in tables:
+                if held and n + t.num_rows > group:
+                    yield from flush()
+                    held, n = [], 0
+                held.append(t)
+                n += t.num_rows
+
+        anchors_ = Groups()
+        for b in batches:
+            paths = b.filter(pc.and_(b.column(3).is_null(), b.column(4)))
+            if paths.num_rows:
+                yield by_path(paths, rows)
+            yield from take(anchors_.push(b.filter(b.column(3).is_valid())))
+        yield from take(anchors_.end())
         if held:
             yield from flush()
 
+    def by_path(b: pa.RecordBatch, rows) -> pa.RecordBatch:
+        a = column(b, 2).astype(np.int64)
+        bits = np.zeros((2, len(a), side + 1), bool)
+        bits[:, :, 0] = column(b, 5), column(b, 6)
+        return rows(column(b, 1), a, a + min_words, a, bits)
+
     return apply
 
 
@@ -436,14 +474,13 @@ def _run_places(texts: DataFrame, min_words: int) -> DataFrame:
     """(id, named): the places in runs from which a repeat may go beyond the run: with as many of its words to come as
     another run of the same key has in all; or a run's first, if a longer run has the key, or one as long with another
     word before, or none."""
-    # by key, as all that follows needs it, so that texts are read for it once
-    found = texts.mapInArrow(_runs(min_words), "key long, id long, at int, n int, before long").repartition("key")
-    lengths = found.groupBy("key", "n").agg((F.min("before") != F.max("before")).alias("differ"), F.count(F.lit(1)).alias("all"), F.count("before").alias("known"))
-    keys = lengths.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", (F.coalesce("differ", F.lit(False)) | ((F.col("all") > 1) & (F.col("known") < F.col("all")))).alias("open")))).alias("sizes"))
-    keys = keys.where("size(sizes) > 1 OR exists(sizes, s -> s.open)")
-    ends = "transform(filter(sizes, s -> s.n < n), s -> at + n - s.n)"
-    starts = "filter(array(at), a -> exists(sizes, s -> s.n > n OR s.n = n AND s.open))"
-    places = found.join(keys, "key").select("id", F.explode(F.expr(f"concat({ends}, {starts})")).alias("at"))
+    found = texts.mapInArrow(_runs(min_words), "key long, id long, at int, n int, before long")
+    key, same = Window.partitionBy("key"), Window.partitionBy("key", "n")
+    n_same, n_known = F.count(F.lit(1)).over(same), F.count("before").over(same)
+    differ = F.coalesce(F.min("before").over(same) != F.max("before").over(same), F.lit(False))
+    found = found.withColumns({"sizes": F.collect_set("n").over(key), "first": (F.max("n").over(key) > F.col("n")) | differ | ((n_same > 1) & (n_known < n_same))})
+    ends = "transform(filter(sizes, q -> q < n), q -> at + n - q)"
+    places = found.select("id", F.explode(F.expr(f"concat({ends}, IF(first, array(at), array()))")).alias("at"))
     return places.groupBy("id").agg(F.collect_set("at").alias("named"))
 
 
@@ -528,7 +565,14 @@ def _leaves(texts: DataFrame, min_words: int, group: int, within: bool, nodes: b
     shared = found.mapInArrow(_shared(group, within), "id long, at int, many boolean")
     lists = shared.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("at", "many"))).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.many").alias("many"))
     rows = _packed(texts).join(lists, "id").select("id", "packed", "at", "many")
-    cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary, before long, after long").repartition("prefix").sortWithinPartitions("prefix")
+    cut = rows.mapInArrow(_cut(min_words), "prefix long, id long, at int, around binary, before long, after long")
+    # of the suffixes that are divided by their paths, however many a path has: whether it is a deep node, and whether words
+    # beside its leaves differ, or there are none; by windows, which spill, so that no group is held
+    all_ = Window.partitionBy("prefix")
+    differ = lambda c: F.min(c).over(all_) != F.max(c).over(all_)
+    deep = differ("id") | differ("at") if within else differ("id")
+    cut = cut.repartition("prefix").withColumns({"deep": deep, "open": differ("before") | (F.min("before").over(all_) < 0), "ends": differ("after") | (F.min("after").over(all_) < 0)})
+    cut = cut.select("prefix", "id", "at", "around", "deep", "open", "ends").sortWithinPartitions("prefix")
     return cut.mapInArrow(_trees(min_words, group, within, nodes), "id long, a int, b int, at int, open binary, ends binary")
 
 
