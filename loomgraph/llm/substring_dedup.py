@@ -208,28 +208,19 @@ def _cut(min_words: int):
     return apply
 
 
-def _deep(path: np.ndarray, ids: np.ndarray, at: np.ndarray, within: bool) -> np.ndarray:
-    """Which suffixes share their path with one of another document, or of another place: leaves of deep nodes."""
-    order = np.argsort(path, kind="stable")
-    r = run_starts(path[order])
-    many = _repeats(r, ids[order], at[order], within)
-    out = np.zeros(len(path), bool)
-    out[order] = np.repeat(many, np.diff(r))
-    return out
-
-
-def _open(path: np.ndarray, *beside: np.ndarray) -> list[np.ndarray]:
-    """For each column of words beside the suffixes: which of these are leaves of nodes whose leaves differ in it, or have
+def _nodes(path: np.ndarray, ids: np.ndarray, at: np.ndarray, within: bool, *beside: np.ndarray) -> np.ndarray:
+    """Rows of flags of the suffixes: whether they share their path with one of another document, or of another place, and so
+    are leaves of deep nodes; and for each column of words beside the suffixes, whether the leaves differ in it, or have
     none."""
     order = np.argsort(path, kind="stable")
     r = run_starts(path[order])
-    out = []
+    flags = [_repeats(r, ids[order], at[order], within)]
     for x in beside:
         x = x[order]
         low = np.minimum.reduceat(x, r[:-1])
-        hit = np.zeros(len(path), bool)
-        hit[order] = np.repeat((low < 0) | (low != np.maximum.reduceat(x, r[:-1])), np.diff(r))
-        out.append(hit)
+        flags.append((low < 0) | (low != np.maximum.reduceat(x, r[:-1])))
+    out = np.zeros((len(flags), len(path)), bool)
+    out[:, order] = np.repeat(np.stack(flags), np.diff(r), axis=1)
     return out
 
 
@@ -256,10 +247,11 @@ def _trees(min_words: int, group: int, within: bool, nodes: bool = False):
             if not len(fits):
                 continue
             path = _path(prefix[fits], left[fits], right[fits], o, k, min_words)
-            is_deep = _deep(path, ids[fits], at[fits], within)
-            deep, path = fits[is_deep], path[is_deep]
-            if nodes and len(deep):
-                bits[:, deep, o] = _open(path, _beside(n_left[deep], words[deep], o), _beside(n_right[deep], more[deep], side - o))
+            beside = (_beside(n_left[fits], words[fits], o), _beside(n_right[fits], more[fits], side - o)) if nodes else ()
+            flags = _nodes(path, ids[fits], at[fits], within, *beside)
+            deep = fits[flags[0]]
+            if nodes:
+                bits[:, deep, o] = flags[1:, flags[0]]
             last[deep] = np.where(last[deep] < 0, o, last[deep])
             first[deep] = o
         hit = first >= 0
