@@ -10,8 +10,8 @@ until no row is on its way; between passes a checkpoint cuts the plan, and what
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass, field
-from functools import reduce
+from collections.abc import Callable
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,20 +40,40 @@ LONG = 8
 PASSES = 8
 
 
-@dataclass
 class Compiled:
     """outputs: a row for each execution that has completed. executions: a row for each execution, with its status, its
     error and its outputs; one that ends without a declared output has failed. branches: the branches that have
     completed, by the step they ended at. suspended: those that wait, with a reason. failed: those that have failed,
-    with the error. steps: the rows as each step left them."""
+    with the error. steps: the rows as each step left them. Each is built when it is first asked for."""
 
-    definition: Definition
-    outputs: DataFrame | None
-    branches: DataFrame
-    suspended: DataFrame
-    failed: DataFrame
-    executions: DataFrame
-    steps: dict[str, DataFrame] = field(default_factory=dict)
+    def __init__(self, compiler: Compiler, frame: DataFrame):
+        self.definition, self._compiler, self._frame = compiler.d, compiler, frame
+        self._state = [KEY, *(c for c in frame.columns if c.startswith((IN, VAR))), BRANCH]
+
+    @cached_property
+    def branches(self) -> DataFrame:
+        return self._frame.where(F.col(STATUS) == "completed").select(*self._state, LAST)
+
+    @cached_property
+    def suspended(self) -> DataFrame:
+        waiting = self._frame.where(F.col(STATUS).isin("suspended", "paused"))
+        return waiting.select(*self._state, LAST, F.col(REASON).alias("reason"), F.col(WAKE).alias("wake_at"), F.col(TOPIC).alias("topic"))
+
+    @cached_property
+    def failed(self) -> DataFrame:
+        return self._frame.where(F.col(STATUS) == "failed").select(*self._state, LAST, F.col(ERROR).alias("error"))
+
+    @cached_property
+    def executions(self) -> DataFrame:
+        return self._compiler._executions(self._frame)
+
+    @cached_property
+    def outputs(self) -> DataFrame:
+        return self._compiler._outputs(self._frame, self)
+
+    @cached_property
+    def steps(self) -> dict[str, DataFrame]:
+        return {name: make() for name, make in self._compiler.steps.items()}
 
     def strict(self) -> DataFrame:
         """outputs of all executions; one that hasn't completed is an error when it is read."""
@@ -104,7 +124,7 @@ class Compiler:
         self.all_here = True  # all rows are at the step that comes now
         self.forked = False  # executions may have several rows
         self.fallible = False  # rows may fail
-        self.steps: dict[str, DataFrame] = {}
+        self.steps: dict[str, Callable[[], DataFrame]] = {}
 
     def _scope(self, df: DataFrame, step: Step, bound: dict[str, X.Value] | None = None, only: set[str] | None = None) -> X.Scope:
         return scope_of(df, self.visible[step.name] if only is None else only, bound, self.engine)
@@ -403,7 +423,8 @@ class Compiler:
             df = self._body(step, df, here)
             if here is None and not self.all_here:  # some have failed
                 here = F.col(AT) == step.name
-        self.steps[step.name] = df if here is None else self._kept(df.withColumn("_at", here), "_at").where("_at").drop("_at")
+        left, rows = df, here
+        self.steps[step.name] = lambda: left if rows is None else self._kept(left.withColumn("_at", rows), "_at").where("_at").drop("_at")
         df = self._route(step, df, here, only)
         self.all_here = self.all_here and len(step.next) == 1 and not self.forked and not (step.next[0].condition or "").strip()
         return df.drop("_go")
@@ -536,11 +557,7 @@ class Compiler:
             raise InvalidDefinition(missing)
         df = self._run(self._frame(df, []))
         df = self._kept(df, STATUS, AT, *(c for c in df.columns if c.startswith(VAR)))
-        state = [KEY, *(c for c in df.columns if c.startswith((IN, VAR))), BRANCH]
-        branches = df.where(F.col(STATUS) == "completed").select(*state, LAST)
-        parked = df.where(F.col(STATUS).isin("suspended", "paused")).select(*state, LAST, F.col(REASON).alias("reason"), F.col(WAKE).alias("wake_at"), F.col(TOPIC).alias("topic"))
-        failed = df.where(F.col(STATUS) == "failed").select(*state, LAST, F.col(ERROR).alias("error"))
-        return Compiled(self.d, self._outputs(df, branches), branches, parked, failed, self._executions(df), self.steps)
+        return Compiled(self, df)
 
     def _unknown_outputs(self) -> list[str]:
         stored = set(self.d.state)
@@ -574,13 +591,13 @@ class Compiler:
             df = df.withColumns({"status": F.when(F.col("_lost").isNotNull(), "failed").otherwise(F.col("status")), "error": F.when(F.col("_lost").isNotNull(), record).otherwise(F.col("error"))})
         return df.select(KEY, *carry, "status", "error", *(F.col(f"_o{i}.v").alias(o.name) for i, o in enumerate(self.d.outputs)))
 
-    def _outputs(self, df: DataFrame, branches: DataFrame) -> DataFrame:
+    def _outputs(self, df: DataFrame, made: Compiled) -> DataFrame:
         """The outputs of the executions that have completed; without declared ones, their branches."""
         if not self.d.outputs:
-            return branches
+            return made.branches
         if len({o.branch for o in self.d.outputs}) == 1 and not self.fallible and not any(s.kind in ("pause", "sleep", "wait_signal", "join") for s in self.d.steps):
             # all that completes can be told from one row
-            rows = branches.where(F.col(BRANCH) == self.d.outputs[0].branch)
+            rows = made.branches.where(F.col(BRANCH) == self.d.outputs[0].branch)
             roots = dict.fromkeys((o.variable or o.name).split(".")[0] for o in self.d.outputs)
             return rows.select(KEY, *(self._output(df, o.variable or o.name).alias(o.name) for o in self.d.outputs)) if all(VAR + r in df.columns for r in roots) else rows.limit(0).select(KEY, *(F.lit(None).cast("string").alias(o.name) for o in self.d.outputs))
-        return self._executions(df).where("status = 'completed'").select(KEY, *(o.name for o in self.d.outputs))
+        return made.executions.where("status = 'completed'").select(KEY, *(o.name for o in self.d.outputs))
