@@ -132,19 +132,20 @@ class Compiler:
     def _set(self, df: DataFrame, when: Column | None, values: dict[str, Column]) -> DataFrame:
         """df with columns set on the rows where it is so (on all, without when). A column that is new is NULL elsewhere;
         one of another type becomes text, unless both are numbers."""
-        out = {}
+        out, there = {}, set(df.columns)
         for name, new in values.items():
             if when is None:
                 out[name] = new
-            elif name not in df.columns:
+            elif name not in there:
                 out[name] = F.when(when, new)
             else:
                 old = F.col(f"`{name}`")
-                had, got = df.schema[name].dataType, df.select(new.alias("x")).schema["x"].dataType
-                # the types are compared without NULLs
-                numbers = isinstance(had, T.NumericType) and isinstance(got, T.NumericType)
-                if had.simpleString() != got.simpleString() and not numbers and not isinstance(had, T.NullType) and not isinstance(got, T.NullType):
-                    old, new = text(old, had), text(new, got)
+                if name.startswith(VAR):  # the others have one type
+                    had, got = df.schema[name].dataType, df.select(new.alias("x")).schema["x"].dataType
+                    # the types are compared without NULLs
+                    numbers = isinstance(had, T.NumericType) and isinstance(got, T.NumericType)
+                    if had.simpleString() != got.simpleString() and not numbers and not isinstance(had, T.NullType) and not isinstance(got, T.NullType):
+                        old, new = text(old, had), text(new, got)
                 out[name] = F.when(when, new).otherwise(old)
             if name[len(VAR) :] in self.tracked and name.startswith(VAR):
                 out[SET + name] = F.lit(True) if when is None else F.when(when, True).otherwise(F.col(f"`{SET}{name}`"))
