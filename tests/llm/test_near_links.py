@@ -62,3 +62,9 @@ def test_pieces_meet_each_pair_once(monkeypatch):
     found = pa.Table.from_batches(ngram_join._found(0.5, False)([rows])).sort_by("root").combine_chunks()
     links = {r["id"]: r["links"] for b in ngram_join._united(found.to_batches()) for r in b.to_pylist()}
     assert links == {i: n for i in range(64) if (n := sum(i in x for x in want))}
+
+
+def test_near_dedup_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.delattr(ngram_join, "jaccard_join")
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e f"), (3, "other words than these here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.near_dedup(df).collect()) == [1, 3]
